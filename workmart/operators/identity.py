@@ -1,4 +1,4 @@
-"""Identity resolution."""
+"""Identity resolution."""
 
 from __future__ import annotations
 
@@ -215,30 +215,3 @@ def assemble_persons(persons: DataFrame, edges: DataFrame | None = None) -> Data
     shown = out.select("tenant_id", F.col("person_id").alias("parent_person_id"), F.col("email").alias("supervisor_email"),
                        F.col("display_name").alias("supervisor_name"))
     return out.join(parent, ["tenant_id", "person_id"], "left").join(shown, ["tenant_id", "parent_person_id"], "left")
-
-
-def match_candidates(people: DataFrame, max_distance: int = 2) -> DataFrame:
-    """Suggested duplicates (O12): same normalised e-mail, or a near name
-    within a block. Never linked automatically.
-
-    Blocks are (tenant, soundex of the last name, first letter, name length).
-    A block of one very common name would be quadratic, so equal names are
-    collapsed first: pairs are built between distinct names only, and every
-    person of a name points to the smallest person id of the other name.
-    """
-    keyed = people.select("tenant_id", "person_id", F.lower(F.trim(text("email"))).alias("mail"),
-                          F.lower(F.trim(text("display_name"))).alias("name"))
-    representative = lambda by: keyed.filter(filled(F.col(by))).groupBy("tenant_id", by).agg(F.min("person_id").alias("other_person_id"))
-    same_mail = keyed.join(representative("mail"), ["tenant_id", "mail"]).filter(
-        F.col("person_id") != F.col("other_person_id")).select(
-        "tenant_id", "person_id", "other_person_id", F.lit("email").alias("rule"), F.lit(1.0).alias("score"))
-    names = representative("name").withColumn("__block", F.concat_ws(
-        "|", F.soundex(F.element_at(F.split("name", " "), -1)), F.substring("name", 1, 1)))
-    a = names.select("tenant_id", "__block", F.col("name").alias("name_a"), F.col("other_person_id").alias("person_id"))
-    b = names.select("tenant_id", "__block", F.col("name").alias("name_b"), "other_person_id")
-    close = F.levenshtein("name_a", "name_b")
-    near = a.join(b, ["tenant_id", "__block"]).filter(F.col("name_a") < F.col("name_b")).withColumn("__d", close).filter(
-        (F.col("__d") > 0) & (F.col("__d") <= max_distance))
-    near = near.select("tenant_id", "person_id", "other_person_id", F.lit("name").alias("rule"), F.round(
-        1.0 - F.col("__d") / F.greatest(F.length("name_a"), F.length("name_b")), 4).alias("score"))
-    return same_mail.unionByName(near)

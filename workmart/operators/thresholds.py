@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from workmart.functions import fixed
 
+SPREAD = 64
+
 
 def resolve_thresholds(catalog: DataFrame, thresholds: DataFrame, contexts: DataFrame) -> DataFrame:
     """The threshold that holds for each metric in each context (Q17).
@@ -33,7 +35,11 @@ def resolve_thresholds(catalog: DataFrame, thresholds: DataFrame, contexts: Data
         if on:
             parts.append(base.join(rows, on).select("tenant_id", "role_slug", "team_id", "metric_key", "__rank", "__value"))
         else:
-            parts.append(base.withColumn("__all", F.lit(1)).join(rows.withColumn("__all", F.lit(1)), "__all").select(
+            # Defaults hold in every context. Contexts are spread over buckets
+            # and the few default rows repeated per bucket.
+            bucket = F.pmod(F.xxhash64(*base.columns), F.lit(SPREAD)).cast("int")
+            spread = rows.withColumn("__bucket", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+            parts.append(base.withColumn("__bucket", bucket).join(spread, "__bucket").select(
                 "tenant_id", "role_slug", "team_id", "metric_key", "__rank", "__value"))
     found = parts[0]
     for p in parts[1:]:

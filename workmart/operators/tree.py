@@ -16,6 +16,7 @@ from workmart.operators.latest import latest_by
 from workmart.operators.reshape import pivot_latest, union_all, valid_at
 from workmart.session import cut_lineage
 
+SPREAD = 64
 ATTRIBUTES = ("email", "display_name", "job_title", "status")
 
 
@@ -73,26 +74,29 @@ def subtree(org_chart: DataFrame, root: str, tenant: str, source_type: str,
     return descend(seed, org_at(org_chart, tenant, source_type, at), max_depth)
 
 
-def granted(visibility: DataFrame, everyone: DataFrame, tenant: str, at: Column | None = None) -> DataFrame:
-    """viewer_person_id, person_id: direct grants, oneself, and everyone for a
+def granted(viewers: DataFrame, visibility: DataFrame, everyone: DataFrame, tenant: str,
+            at: Column | None = None) -> DataFrame:
+    """viewer_person_id, person_id: oneself, direct grants, and everyone for a
     wildcard grant (a NULL viewed person)."""
-    grants = valid_at(visibility.filter(F.col("tenant_id") == tenant), at)
+    asked = viewers.select("viewer_person_id").distinct()
+    grants = valid_at(visibility.filter(F.col("tenant_id") == tenant), at).join(asked, "viewer_person_id", "left_semi")
     direct = grants.filter(F.col("viewed_person_id").isNotNull()).select(
         "viewer_person_id", F.col("viewed_person_id").alias("person_id"))
-    super_users = grants.filter(F.col("viewed_person_id").isNull()).select("viewer_person_id").distinct()
-    # A wildcard is held by few viewers; each of them sees every person of the
-    # tenant by definition, so this part of the result has that size anyway.
-    of_all = super_users.withColumn("tenant_id", F.lit(tenant)).join(
-        everyone.filter(F.col("tenant_id") == tenant).select("tenant_id", "person_id").distinct(), "tenant_id")
-    own = everyone.filter(F.col("tenant_id") == tenant).select(
-        F.col("person_id").alias("viewer_person_id"), "person_id")
-    return direct.unionByName(of_all.select("viewer_person_id", "person_id")).unionByName(own).distinct()
+    # A wildcard viewer sees every person, so this part has that size by
+    # definition. People are spread over buckets to share the work.
+    wild = grants.filter(F.col("viewed_person_id").isNull()).select("viewer_person_id").distinct().withColumn(
+        "__bucket", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    people = everyone.filter(F.col("tenant_id") == tenant).select("person_id").distinct().withColumn(
+        "__bucket", F.pmod(F.xxhash64("person_id"), F.lit(SPREAD)).cast("int"))
+    of_all = wild.join(people, "__bucket").select("viewer_person_id", "person_id")
+    own = asked.select("viewer_person_id", F.col("viewer_person_id").alias("person_id"))
+    return own.unionByName(direct).unionByName(of_all).distinct()
 
 
 def visible_set(viewers: DataFrame, visibility: DataFrame, everyone: DataFrame, org_chart: DataFrame,
                 tenant: str, source_type: str, at: Column | None = None) -> DataFrame:
     """viewer_person_id, person_id: grants closed under 'below in the tree'."""
-    start = granted(visibility, everyone, tenant, at).join(viewers.select("viewer_person_id").distinct(), "viewer_person_id", "left_semi")
+    start = granted(viewers, visibility, everyone, tenant, at)
     return descend(start, org_at(org_chart, tenant, source_type, at), group=["viewer_person_id"]).select(
         "viewer_person_id", "person_id")
 
