@@ -113,7 +113,7 @@ _MOMENTS = re.compile(r"(_at|_on|_from|_to|^timestamp|_time|(start|end|complete|
 _LONGS = re.compile(
     r"(_count|_seconds|_cents|_sum|_users|_messages|_posts|_replies|_sessions|_requests|_offered|_accepted|_edits|"
     r"_comments|_commenters|_tokens|_created|_interacted|_organized|_attended|_edited|_changed|_added|_removed|"
-    r"^is_\w+|^has_\w+|^approved|^size|^line_number|^pr_id|^pr_number|^comment_order|^commit_order|^replies|"
+    r"^is_\w+|^has_\w+|^archived|^approved|^size|^line_number|^pr_id|^pr_number|^comment_order|^commit_order|^replies|"
     r"^_version|^_seq)$")
 
 

@@ -44,7 +44,7 @@ def jira_fields(t: Landed) -> DataFrame:
 def jira_projects(t: Landed) -> DataFrame:
     return shape(t("bronze_jira.jira_projects"), *KEYS, "project_key", "name", "project_type",
                  project_id=F.col("project_id").cast("string"), project_style=F.col("style"),
-                 archived=flag(truth("archived")).cast("string"), collected_at=t.as_of, data_source=F.lit("jira"), _version=millis(t.as_of))
+                 archived=flag(truth("archived")), collected_at=t.as_of, data_source=F.lit("jira"), _version=millis(t.as_of))
 
 
 @feeds("class_task_sprints", "jira", "bronze_jira.jira_sprints")
