@@ -7,6 +7,8 @@ into the filter as a literal, so that Parquet skips row groups by it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,14 +34,11 @@ def after_source_marks(batch: DataFrame, target: DataFrame | None, column: str,
     target does not know come in whole."""
     if target is None:
         return batch
-    marks = target.groupBy(*by).agg(F.max(column).alias("__mark"))
-    same = [batch[c].eqNullSafe(marks[c]) for c in by]
-    condition = same[0]
-    for other in same[1:]:
-        condition = condition & other
-    joined = batch.join(marks, condition, "left")
-    keep = F.col("__mark").isNull() | (batch[column] > F.col("__mark"))
-    return joined.filter(keep).select(*[batch[c] for c in batch.columns])
+    names = {c: f"__of_{c}" for c in by}
+    marks = target.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.max(column).alias("__mark"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    newer = F.col("__mark").isNull() | (F.col(column) > F.col("__mark"))
+    return batch.join(marks, same, "left").filter(newer).select(*batch.columns)
 
 
 def after_entity_marks(events: DataFrame, target: DataFrame | None, keys: Sequence[str], at: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,7 +73,7 @@ def supported_ratio(key: str, support: float = 5.0) -> Column:
     """Negative share of signed counts, only with enough positives."""
     gains = F.coalesce(F.sum(F.when((_key() == key) & (_value() > 0), _value())), F.lit(0.0))
     losses = F.coalesce(F.sum(F.when((_key() == key) & (_value() < 0), _value())), F.lit(0.0))
-    return F.when(gains >= support, F.round(-losses / F.nullif(gains, F.lit(0.0)) * 100, 1))
+    return F.when(gains >= support, F.round(F.abs(losses) / F.nullif(gains, F.lit(0.0)) * 100, 1))
 
 
 def nothing() -> Column:
@@ -133,11 +135,10 @@ def cohort_range(values: DataFrame, metrics: Metrics, by: Sequence[str]) -> Data
                                       F.min("v").alias("__min"), F.max("v").alias("__max"))
     # Active flags need no quantile: they are left out of the ranking.
     ranked = exact_quantiles(values.filter(~active), keys, "v", {"__p50": 0.5, "__p95": 0.95})
-    same = plain["metric_key"] == ranked["metric_key"]
-    for c in by:
-        same = same & plain[c].eqNullSafe(ranked[c])
-    joined = plain.join(ranked, same, "left").select(
-        *[plain[c] for c in plain.columns], ranked["__p50"], ranked["__p95"])
+    names = {c: f"__of_{c}" for c in keys}
+    ranked = ranked.select(*[F.col(c).alias(n) for c, n in names.items()], "__p50", "__p95")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    joined = plain.join(ranked, same, "left")
     flat = lambda x: F.when(F.col("__n") > 0, x.cast("double"))
     return joined.select(
         *keys,

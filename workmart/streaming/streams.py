@@ -11,30 +11,31 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from workmart.operators.latest import latest_by
+from workmart.sources.sinks import write_table
 
 
-def stream_upsert(source: DataFrame, spark: SparkSession, path: str, checkpoint: str, keys: Sequence[str],
-                  version: str) -> StreamingQuery:
+def stream_upsert(source: DataFrame, path: str, checkpoint: str, keys: Sequence[str], version: str) -> StreamingQuery:
     """Keep a table with the latest row per key (ST1).
 
-    Every micro-batch writes the next generation of the table, so a reader and
-    a retried batch always see a whole one: generation n is made from n - 1,
-    and running batch n again gives the same files.
+    A micro-batch is reduced to its newest row per key and becomes one
+    generation of the table; nothing written before is touched, and a retried
+    batch writes the same generation again. Readers take the newest row over
+    all generations, `compact` folds them into one table now and then.
     """
 
     def put(batch: DataFrame, n: int) -> None:
-        if n > 0:
-            batch = spark.read.parquet(f"{path}/generation={n - 1}").unionByName(batch)
-        newest = latest_by(batch, keys, [version])
-        newest.write.mode("overwrite").parquet(f"{path}/generation={n}")
+        latest_by(batch, keys, [version]).write.mode("overwrite").parquet(f"{path}/generation={n}")
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_generation(spark: SparkSession, path: str) -> DataFrame:
-    numbers = spark.read.parquet(path)
-    last = numbers.agg(F.max("generation").alias("g")).first()["g"]
-    return numbers.filter(F.col("generation") == last).drop("generation")
+def upserted(spark: SparkSession, path: str, keys: Sequence[str], version: str) -> DataFrame:
+    """The table that `stream_upsert` keeps."""
+    return latest_by(spark.read.parquet(path), keys, [version, "generation"]).drop("generation")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], version: str, into: str) -> None:
+    write_table(upserted(spark, path, keys, version), into)
 
 
 def stream_sessions(events: DataFrame, keys: Sequence[str], ts: str, gap: str, lateness: str) -> DataFrame:
@@ -108,5 +109,5 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoi
         availableNow=True).start()
 
 
-__all__ = ["stream_upsert", "latest_generation", "stream_sessions", "stream_daily", "stream_dedup", "stream_field_history",
+__all__ = ["stream_upsert", "upserted", "compact", "stream_sessions", "stream_daily", "stream_dedup", "stream_field_history",
            "run_once"]
