@@ -451,7 +451,7 @@ case("F_strings", "p_partkey:i a:s b:s c:i d:b e:s",
         "p_partkey", F.concat(S.normal_email("p_brand"), F.lit("/"), "p_type").alias("a"), F.element_at(F.split("p_name", " "), 1).alias("b"),
         F.instr("p_name", "e").alias("c"), F.col("p_name").startswith("red").alias("d"), F.regexp_extract("p_brand", r"(\d+)", 1).alias("e")))
 case("F_dates", "event_id:i ms:i back:t seconds:i days:i monday:d label:s",
-     f"""select event_id, epoch_ms(ts) ms, make_timestamp(epoch_ms(ts) * 1000) back, date_diff('second', ts, timestamp '{AS_OF}') as seconds, date_diff('day', ts::date, date '{AS_OF[:10]}') as days,
+     f"""select event_id, epoch_us(ts) // 1000 ms, make_timestamp(epoch_us(ts) // 1000 * 1000) back, date_diff('second', ts, timestamp '{AS_OF}') as seconds, date_diff('day', ts::date, date '{AS_OF[:10]}') as days,
         date_trunc('week', ts) monday, strftime(ts, '%b %d') label from ev""")(
     lambda g: g.ev.select(
         "event_id", S.millis("ts").alias("ms"), S.from_millis(S.millis("ts")).alias("back"), S.seconds_between(F.col("ts"), g.as_of).alias("seconds"),

@@ -56,7 +56,7 @@ def compare(spark, con, folder: str, name: str) -> tuple[list[str], int, float]:
 
 
 def main(folder: str, parts: list[str]) -> int:
-    spark = build_session("proving", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("proving", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0
@@ -66,7 +66,7 @@ def main(folder: str, parts: list[str]) -> int:
         try:
             bad, n, took = compare(spark, con, folder, name)
         except Exception as error:  # shown per case
-            bad, n, took = [str(error)[:1500]], 0, 0.0
+            bad, n, took = [str(error)[:400]], 0, 0.0
         failed += bool(bad)
         print(f"{'FAIL' if bad else 'ok  '} {name} rows={n} {took:.1f}s {'' if CASES[name].sql else '(rows only)'}", *bad, sep="\n      " if bad else " ", flush=True)
     print(f"{failed} failed")

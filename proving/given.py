@@ -74,11 +74,11 @@ class Given:
             "unix_millis(ts) as _version", "event_type", "k", "user_id", "value", "day")
         fields = rows.selectExpr("*", """inline(filter(array(
             struct('status' as field_id, element_at(map('view','Open','signup','In Progress','click','Code Review','purchase','Closed','error','Reopened'), event_type) as shown, event_type as vid),
-            case when event_type = 'view' then struct('assignee', case when k < 90 then concat('User ', user_id) end, case when k < 90 then concat('u', user_id) end) end,
-            case when event_type = 'signup' then struct('issuetype', case when k < 30 then 'Bug' else 'Task' end, cast(k as string)) end,
-            case when event_type = 'click' then struct('duedate', cast(date_add(day, cast(k % 10 as int)) as string), 'd') end,
-            case when event_type = 'error' then struct('timeoriginalestimate', cast(cast(round(value * 1000) as bigint) as string), 'e') end,
-            case when event_type = 'purchase' then struct('timespent', cast(cast(round(value * 900) as bigint) as string), 's') end
+            case when event_type = 'view' then named_struct('field_id', 'assignee', 'shown', case when k < 90 then concat('User ', user_id) end, 'vid', case when k < 90 then concat('u', user_id) end) end,
+            case when event_type = 'signup' then named_struct('field_id', 'issuetype', 'shown', case when k < 30 then 'Bug' else 'Task' end, 'vid', cast(k as string)) end,
+            case when event_type = 'click' then named_struct('field_id', 'duedate', 'shown', cast(date_add(day, cast(k % 10 as int)) as string), 'vid', 'd') end,
+            case when event_type = 'error' then named_struct('field_id', 'timeoriginalestimate', 'shown', cast(cast(round(value * 1000) as bigint) as string), 'vid', 'e') end,
+            case when event_type = 'purchase' then named_struct('field_id', 'timespent', 'shown', cast(cast(round(value * 900) as bigint) as string), 'vid', 's') end
             ), x -> x is not null))""")
         changes = fields.selectExpr(
             "source_id", "data_source", "issue_id", "event_at", "event_id", "'changelog' as event_kind", "cast(0 as bigint) as _seq", "field_id",
@@ -236,20 +236,20 @@ DERIVED = {
         (['Senior Engineer','Junior Designer','Team Lead','Engineer','VP of Sales','Intern'])[c_nationkey % 6 + 1] job_title,
         case when c_acctbal >= 0 then 'Active' else 'Inactive' end status, 'nation' || c_nationkey supervisor_email from customer""",
     "issue_ev": "select user_id || '-' || (k % 5) issue_id, * from ev",
-    "fields": """select issue_id, ts event_at, event_id::varchar event_id, epoch_ms(ts) _version, 'status' field_id,
+    "fields": """select issue_id, ts event_at, event_id::varchar event_id, epoch_us(ts) // 1000 _version, 'status' field_id,
           case event_type when 'view' then 'Open' when 'signup' then 'In Progress' when 'click' then 'Code Review'
             when 'purchase' then 'Closed' else 'Reopened' end shown, event_type vid from issue_ev
-        union all select issue_id, ts, event_id::varchar, epoch_ms(ts), 'assignee', case when k < 90 then 'User ' || user_id end,
+        union all select issue_id, ts, event_id::varchar, epoch_us(ts) // 1000, 'assignee', case when k < 90 then 'User ' || user_id end,
           case when k < 90 then 'u' || user_id end from issue_ev where event_type = 'view'
-        union all select issue_id, ts, event_id::varchar, epoch_ms(ts), 'issuetype', case when k < 30 then 'Bug' else 'Task' end, k::varchar
+        union all select issue_id, ts, event_id::varchar, epoch_us(ts) // 1000, 'issuetype', case when k < 30 then 'Bug' else 'Task' end, k::varchar
           from issue_ev where event_type = 'signup'
-        union all select issue_id, ts, event_id::varchar, epoch_ms(ts), 'duedate', (day + (k % 10)::int)::date::varchar, 'd' from issue_ev where event_type = 'click'
-        union all select issue_id, ts, event_id::varchar, epoch_ms(ts), 'timeoriginalestimate', round(value * 1000)::bigint::varchar, 'e'
+        union all select issue_id, ts, event_id::varchar, epoch_us(ts) // 1000, 'duedate', (day + (k % 10)::int)::date::varchar, 'd' from issue_ev where event_type = 'click'
+        union all select issue_id, ts, event_id::varchar, epoch_us(ts) // 1000, 'timeoriginalestimate', round(value * 1000)::bigint::varchar, 'e'
           from issue_ev where event_type = 'error'
-        union all select issue_id, ts, event_id::varchar, epoch_ms(ts), 'timespent', round(value * 900)::bigint::varchar, 's'
+        union all select issue_id, ts, event_id::varchar, epoch_us(ts) // 1000, 'timespent', round(value * 900)::bigint::varchar, 's'
           from issue_ev where event_type = 'purchase'""",
     "hist": """select *, 'changelog' event_kind from fields
-        union all select issue_id, min(ts) - interval 1 day, 'initial:' || issue_id, epoch_ms(min(ts) - interval 1 day), 'status', 'Open', 'new', 'synthetic_initial'
+        union all select issue_id, min(ts) - interval 1 day, 'initial:' || issue_id, epoch_us(min(ts) - interval 1 day) // 1000, 'status', 'Open', 'new', 'synthetic_initial'
           from issue_ev group by issue_id""",
     "users": "select 'u' || c_custkey user_id, c_name email from customer",
     "worklogs": "select 'u' || user_id author_id, ts work_date, round(value * 60) duration_seconds from ev where event_type = 'purchase'",

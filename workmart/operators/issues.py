@@ -13,6 +13,7 @@ from workmart.functions.scalars import (
 )
 from workmart.operators.latest import latest_by
 from workmart.operators.ordered import with_neighbours, with_position
+from workmart.session import store
 
 VALUES = "array<struct<id:string,display:string>>"
 ISSUE = ["source_id", "issue_id"]
@@ -181,7 +182,8 @@ def _fold_multi(events: DataFrame, known: DataFrame, forward_only: bool) -> tupl
     `known` holds one `current` per field: the state now, which is rolled
     back to the start, or, with `forward_only`, the state before the events.
     """
-    placed = with_position(events, FIELD, EVENT_ORDER, "pos")
+    # Read by the blocks and again for the rows; placing is the dear part.
+    placed = store(with_position(events, FIELD, EVENT_ORDER, "pos"))
     placed = placed.withColumn("c0", F.expr(f"(pos - 1) div {BLOCK}")).withColumn("c1", F.expr(f"c0 div {BLOCK}"))
     placed = placed.withColumn("fwd", forward_change(F.col("kind"), F.col("before"), F.col("after")))
     placed = placed.withColumn("rev", reverse_change(F.col("kind"), F.col("before"), F.col("after")))
@@ -230,7 +232,7 @@ def field_history(snapshot: DataFrame, events: DataFrame, meta: DataFrame,
       their last event; the others get an initial row per field as well.
     """
     meta = meta.select("source_id", "field_id", "field_name", "is_multi", "value_id_type")
-    known_events = to_delta(events.drop("field_name").join(meta, ["source_id", "field_id"]))
+    known_events = store(to_delta(events.drop("field_name").join(meta, ["source_id", "field_id"])))
     issues = snapshot.groupBy(*ISSUE).agg(
         F.min("id_readable").alias("id_readable"), F.min("created_at").alias("created_at"),
         F.min("reporter_id").alias("reporter_id"))

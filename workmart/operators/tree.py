@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from workmart.operators.latest import latest_by
 from workmart.operators.reshape import pivot_latest, union_all, valid_at
-from workmart.session import cut_lineage
+from workmart.session import store
 
 SPREAD = 64
 ATTRIBUTES = ("email", "display_name", "job_title", "status")
@@ -31,8 +31,8 @@ def descend(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     group = list(group)
     node = [*group, "person_id"]
     steps = edges.filter(F.col("parent_person_id").isNotNull()).select("child_person_id", "parent_person_id").distinct()
-    steps = cut_lineage(steps)
-    found = cut_lineage(seeds.select(*node).distinct().select(
+    steps = store(steps)
+    found = store(seeds.select(*node).distinct().select(
         *node, F.lit(None).cast("string").alias("parent_person_id"), F.lit(0).alias("depth")))
     levels, frontier = [found], found
     depth = 0
@@ -45,7 +45,7 @@ def descend(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
         # A node with two parents on one level keeps the smaller parent id.
         reached = reached.groupBy(*node).agg(F.min("parent_person_id").alias("parent_person_id"))
         known = union_all(level.select(*node) for level in levels)
-        frontier = cut_lineage(reached.join(known, node, "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = store(reached.join(known, node, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         levels.append(frontier)

@@ -16,6 +16,7 @@ from workmart.operators.reshape import empty_table, union_all, unpivot
 from workmart.operators.rollup import company_stats, person_period
 from workmart.plans import bullets, marts
 from workmart.plans.contracts import contract
+from workmart.session import store
 
 # How a metric is rolled up over a person's days.
 COLLAB_SUMS = ("m365_emails_sent", "zoom_calls", "meeting_hours", "m365_teams_messages", "m365_files_shared",
@@ -80,24 +81,24 @@ class Gold:
 
     `tables` maps class names (and `bronze_bamboohr.employees`,
     `bronze_jira.jira_issue`) to DataFrames; a class that is missing counts as
-    empty. Views are lazy and share their inputs; call `keep` on one that
-    several results read.
+    empty. Views are lazy, except the issue state and its intervals, which are
+    stored when first read.
     """
 
     spark: SparkSession
     tables: Mapping[str, DataFrame]
     as_of: Column = field(default_factory=F.current_timestamp)
+    materialize: bool = True
 
     def cls(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
         return empty_table(self.spark, contract(name))
 
-    def keep(self, name: str) -> DataFrame:
-        """Hold a view in executor memory and disk while a run reads it."""
-        df = getattr(self, name).persist()
-        self.__dict__[name] = df
-        return df
+    def materialized(self, df: DataFrame) -> DataFrame:
+        """A view that many others read is stored once per run (S9). Turn
+        `materialize` off to get it as a plain plan."""
+        return store(df) if self.materialize else df
 
     # --- people ---------------------------------------------------------------------
     @cached_property
@@ -210,11 +211,12 @@ class Gold:
     @cached_property
     def task_issue_current_state(self) -> DataFrame:  # G9
         state = issues.issue_state(self.cls("class_task_field_history"))
-        return issues.with_assignee(state, self.cls("class_task_users"), self.people)
+        return self.materialized(issues.with_assignee(state, self.cls("class_task_users"), self.people))
 
     @cached_property
     def task_status_intervals(self) -> DataFrame:  # G10
-        return issues.status_intervals(self.cls("class_task_field_history"), self.task_issue_current_state, self.as_of)
+        return self.materialized(issues.status_intervals(
+            self.cls("class_task_field_history"), self.task_issue_current_state, self.as_of))
 
     @cached_property
     def task_dev_seconds_per_issue(self) -> DataFrame:  # G11

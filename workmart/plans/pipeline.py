@@ -30,7 +30,7 @@ def run(tables: Landed, target: str) -> Gold:
     """Classes and shared views of one run."""
     classes = build_classes(tables, f"{target}/silver")
     extra = {n: tables.newest(n) for n in ("bronze_bamboohr.employees", "bronze_jira.jira_issue") if tables.has(n)}
-    gold = Gold(tables.spark, {**classes, **extra}, tables.as_of)
+    gold = Gold(tables.spark, {**classes, **extra}, tables.as_of, materialize=False)
     for name in STORED:
         write_table(getattr(gold, name), f"{target}/gold/{name}")
         gold.__dict__[name] = tables.spark.read.parquet(f"{target}/gold/{name}")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results (time zone) or plans (adaptive execution, skew
-# joins, shuffles that survive stragglers). Sizes are left to the cluster.
+# joins, partition overwrite). Sizes are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -26,20 +27,27 @@ def build_session(app: str = "workmart", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to reliable storage and read it back, so that an iterative
-    plan does not grow and a lost executor only re-reads files.
-
-    The folder is the one named by `spark.checkpoint.dir`. Only a local
-    session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`. Only a local session
+    without that setting gets a folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="workmart-checkpoint-")
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="workmart-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Cuts the lineage: plans built on the result stay short, what several
+    branches read is computed once, and a lost executor only re-reads files.
+    Unlike an RDD checkpoint the table is columnar, so later reads prune
+    columns and row groups.
+    """
+    path = f"{shared_folder(df.sparkSession)}/workmart-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
