@@ -412,7 +412,7 @@ DERIVED = {
             from file_changes f join commits c using (commit_hash) where is_merge_commit = 0
           union all select p.person_key, coalesce(m.week, date_trunc('week', closed_on)::date), 0, 1, 0, 0 from prs p left join commits m on m.commit_hash = p.merge_commit_hash
             where state_norm = 'merged' and closed_on is not null) group by all""",
-    "ai_share": """select person_key person_id, day metric_date, case when total_lines_added > 0 then round(lines_added / total_lines_added * 100, 1) end share,
+    "ai_share": """select person_key person_id, day metric_date, case when total_lines_added > 0 then round(100.0 * lines_added / total_lines_added, 1) end share,
         (agent_sessions + chat_requests)::double sessions, true has_ai from ai_dev""",
     "ic_kpis": """select f.email person_id, p.org_unit_id, f.day metric_date, coalesce(t.loc, 0)::double loc, round(coalesce(a.share, 0), 1) ai_loc_share_pct,
           coalesce(t.prs_merged, 0)::double prs_merged, round(t.avg_h, 1) pr_cycle_time_h, greatest(0, least(100, round(f.focus_time_pct, 1))) focus_time_pct,
@@ -427,6 +427,31 @@ DERIVED = {
 _TABLE = re.compile(r"\b(" + "|".join(sorted(DERIVED, key=len, reverse=True)) + r")\b")
 
 
+def _arguments(text: str) -> list[str]:
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and depth == 0:
+            parts.append(text[start:i])
+            start = i + 1
+    return [*parts, text[start:]]
+
+
+def half_up(sql: str) -> str:
+    """`round(x, n)` on decimals: half up after the last bits are rounded off,
+    as the library does it."""
+    found = re.search(r"(?<![a-z_])round\(", sql)
+    if not found:
+        return sql
+    depth, end = 1, found.end()
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    args = [half_up(a) for a in _arguments(sql[found.end():end - 1])]
+    done = f"ROUND({args[0]})" if len(args) == 1 else f"(ROUND(ROUND(({args[0]})::double, {int(args[1]) + 8})::varchar::decimal(38, 18), {int(args[1])})::double)"
+    return sql[:found.start()] + done + half_up(sql[end:])
+
+
 def with_derived(sql: str) -> str:
     """Prefix a query with the derived tables it reads, in order."""
     need: list[str] = []
@@ -439,4 +464,4 @@ def with_derived(sql: str) -> str:
 
     visit(sql)
     ordered = [n for n in DERIVED if n in need]
-    return "WITH " + ",\n".join(f"{n} AS ({DERIVED[n]})" for n in ordered) + "\n" + sql if ordered else sql
+    return half_up("WITH " + ",\n".join(f"{n} AS ({DERIVED[n]})" for n in ordered) + "\n" + sql if ordered else sql)

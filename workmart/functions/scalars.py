@@ -28,6 +28,12 @@ def whole_div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("bigint"))
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Half-up rounding that does not depend on how rows were partitioned:
+    the last bits of a sum of doubles do, so they are rounded off first."""
+    return F.round(F.round(as_column(value), digits + 8), digits)
+
+
 def ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
     """NULL instead of a division by zero."""
     den = F.nullif(denominator.cast("double"), F.lit(0.0))

@@ -14,8 +14,10 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from workmart.functions.scalars import rounded
 from workmart.operators.quantiles import exact_quantiles
 from workmart.operators.reshape import unpivot
+from workmart.session import store
 
 def _key() -> Column:
     return F.col("metric_key")
@@ -51,7 +53,7 @@ def percent(num: Column, den: Column, digits: int | None = 1, cap: float | None
     """100 x ratio of sums, NULL when the denominator is not positive (A10)."""
     out = F.lit(100.0) * num / F.nullif(den, F.lit(0.0))
     if digits is not None:
-        out = F.round(out, digits)
+        out = rounded(out, digits)
     if cap is not None:
         out = F.least(F.lit(cap), out)
     return F.when(den > 0, out)
@@ -59,7 +61,7 @@ def percent(num: Column, den: Column, digits: int | None = 1, cap: float | None
 
 def per(num: Column, den: Column, digits: int | None = None) -> Column:
     out = num / F.nullif(den, F.lit(0.0))
-    return F.when(den > 0, F.round(out, digits) if digits is not None else out)
+    return F.when(den > 0, rounded(out, digits) if digits is not None else out)
 
 
 def fold_accuracy(key: str, top: float = 200.0) -> Column:
@@ -73,7 +75,7 @@ def supported_ratio(key: str, support: float = 5.0) -> Column:
     """Negative share of signed counts, only with enough positives."""
     gains = F.coalesce(F.sum(F.when((_key() == key) & (_value() > 0), _value())), F.lit(0.0))
     losses = F.coalesce(F.sum(F.when((_key() == key) & (_value() < 0), _value())), F.lit(0.0))
-    return F.when(gains >= support, F.round(F.abs(losses) / F.nullif(gains, F.lit(0.0)) * 100, 1))
+    return F.when(gains >= support, rounded(F.abs(losses) / F.nullif(gains, F.lit(0.0)) * 100, 1))
 
 
 def nothing() -> Column:
@@ -149,8 +151,10 @@ def cohort_range(values: DataFrame, metrics: Metrics, by: Sequence[str]) -> Data
 
 def team_bullet(rows: DataFrame, metrics: Metrics, period: tuple[str, str] | None = None,
                 org_unit: str | None = None) -> DataFrame:
-    """A unit's value of each metric against the whole company (Q5)."""
-    values = person_values(in_period(rows, period), metrics)
+    """A unit's value of each metric against the whole company (Q5). The
+    person values, one row per person and metric, are stored: value and range
+    both read them, and the metric rows are scanned once."""
+    values = store(person_values(in_period(rows, period), metrics))
     member = F.lit(True) if org_unit is None else (F.col("org_unit_id") == org_unit)
     active = F.col("metric_key").isin(*metrics.active) if metrics.active else F.lit(False)
     mine = values.filter(member).groupBy("metric_key").agg(F.sum("v").alias("__sum"), F.avg("v").alias("__avg"))
@@ -160,7 +164,7 @@ def team_bullet(rows: DataFrame, metrics: Metrics, period: tuple[str, str] | Non
 
 def team_bullets(rows: DataFrame, metrics: Metrics, period: tuple[str, str] | None = None) -> DataFrame:
     """`team_bullet` of every unit at once."""
-    values = person_values(in_period(rows, period), metrics)
+    values = store(person_values(in_period(rows, period), metrics))
     active = F.col("metric_key").isin(*metrics.active) if metrics.active else F.lit(False)
     mine = values.groupBy("org_unit_id", "metric_key").agg(F.sum("v").alias("__sum"), F.avg("v").alias("__avg"))
     mine = mine.select("org_unit_id", "metric_key", F.when(active, F.col("__sum")).otherwise(F.col("__avg")).alias("value"))
@@ -171,7 +175,7 @@ def person_bullet(rows: DataFrame, metrics: Metrics, period: tuple[str, str] | N
                   person: str | None = None) -> DataFrame:
     """A person's value of each metric against their own unit (Q6); without a
     person, those of everyone."""
-    values = person_values(in_period(rows, period), metrics)
+    values = store(person_values(in_period(rows, period), metrics))
     ranges = cohort_range(values, metrics, ["org_unit_id"])
     mine = values if person is None else values.filter(F.col("person_id") == person)
     return mine.join(ranges, ["org_unit_id", "metric_key"], "left").select(

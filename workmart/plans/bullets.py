@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from workmart.functions.scalars import file_category, filled, person_key, seconds_between
+from workmart.functions.scalars import file_category, filled, person_key, rounded, seconds_between
 from workmart.operators.latest import latest_values
 from workmart.operators.reshape import anchor_aggregate, join_by_kind, union_all, unpivot
 from workmart.plans.marts import longest_modality
@@ -37,7 +37,7 @@ def _num(name: str) -> Column:
 def task_delivery_rows(closed: DataFrame, dev: DataFrame, closes: DataFrame, reopens: DataFrame, worklogs: DataFrame,
                        in_progress: DataFrame, stale: DataFrame, people: DataFrame, as_of: Column) -> DataFrame:
     accuracy = F.when((F.coalesce("avg_time_spent", F.lit(0.0)) > 0) & F.col("avg_time_estimate").isNotNull(),
-                      F.round(F.col("avg_time_estimate") / F.nullif("avg_time_spent", F.lit(0.0)) * 100, 1))
+                      rounded(F.col("avg_time_estimate") / F.nullif("avg_time_spent", F.lit(0.0)) * 100, 1))
     done = _rows(closed, "person_id", "metric_date", {
         "tasks_completed": F.col("tasks_closed"), "due_date_on_time": F.col("on_time_count"),
         "due_date_with_due": F.col("has_due_date_count"), "estimation_accuracy": accuracy, "bugs_fixed": F.col("bugs_fixed")})
@@ -45,10 +45,10 @@ def task_delivery_rows(closed: DataFrame, dev: DataFrame, closes: DataFrame, reo
     work, lead = F.col("dev_seconds"), F.col("lead_seconds")
     both = (work > 0) & (lead > 0)
     flow = _rows(dev, "assignee_email", "close_date", {
-        "task_dev_time": F.when(work != 0, F.round(work / 3600.0, 2)),
-        "mean_time_to_resolution": F.when(lead != 0, F.round(lead / 86400.0, 2)),
+        "task_dev_time": F.when(work != 0, rounded(work / 3600.0, 2)),
+        "mean_time_to_resolution": F.when(lead != 0, rounded(lead / 86400.0, 2)),
         "flow_efficiency_num": F.when(both, work), "flow_efficiency_den": F.when(both, lead),
-        "pickup_time": F.round(F.col("pickup_seconds") / 86400.0, 2)})
+        "pickup_time": rounded(F.col("pickup_seconds") / 86400.0, 2)})
     moved = union_all([
         _rows(closes, "assignee_email", "event_date", {"task_reopen_rate": F.col("close_count")}),
         _rows(reopens, "assignee_email", "event_date", {"task_reopen_rate": -F.col("reopen_count")})])

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from workmart.functions.scalars import clamp, filled, json_number, json_text, moment, ratio, seniority, week
+from workmart.functions.scalars import clamp, filled, json_number, json_text, moment, ratio, rounded, seniority, week
 from workmart.operators import issues
 from workmart.operators.latest import latest_values
 from workmart.operators.quantiles import exact_quantiles
@@ -72,7 +72,7 @@ def _num(name: str) -> Column:
 
 
 def _bounded(value: Column) -> Column:
-    return clamp(F.round(value, 1), 0.0, 100.0)
+    return clamp(rounded(value, 1), 0.0, 100.0)
 
 
 @dataclass
@@ -348,7 +348,7 @@ class Gold:
 
     @cached_property
     def _ai_share(self) -> DataFrame:
-        share = F.round(ratio(_num("lines_added"), F.when(_num("total_lines_added") > 0, _num("total_lines_added")), 100.0), 1)
+        share = rounded(ratio(_num("lines_added"), F.when(_num("total_lines_added") > 0, _num("total_lines_added")), 100.0), 1)
         return self.cls("class_ai_dev_usage").filter(filled(F.col("email"))).select(
             F.lower("email").alias("person_id"), F.col("day").alias("metric_date"), share.alias("ai_share"),
             (_num("agent_sessions") + _num("chat_requests")).alias("ai_sessions"), F.lit(True).alias("has_ai"))
@@ -374,8 +374,8 @@ class Gold:
         return base.join(heads, "org_unit_id").join(closed, unit_day, "left").join(ai, unit_day, "left").select(
             "org_unit_id", "org_unit_name", "headcount", F.coalesce("tasks", F.lit(0)).alias("tasks_closed"),
             F.coalesce("bugs", F.lit(0)).alias("bugs_fixed"), none.alias("build_success_pct"), _bounded(F.col("focus")).alias("focus_time_pct"),
-            F.round(F.col("users") * 100.0 / F.greatest("headcount", F.lit(1)), 1).alias("ai_adoption_pct"),
-            F.round("share", 1).alias("ai_loc_share_pct"), none.alias("pr_cycle_time_h"), "metric_date")
+            rounded(F.col("users") * 100.0 / F.greatest("headcount", F.lit(1)), 1).alias("ai_adoption_pct"),
+            rounded("share", 1).alias("ai_loc_share_pct"), none.alias("pr_cycle_time_h"), "metric_date")
 
     @cached_property
     def _closed_by_day(self) -> DataFrame:
@@ -391,9 +391,9 @@ class Gold:
         none = F.lit(None).cast("double")
         return rows.select(
             "person_id", "display_name", "seniority", "org_unit_id", _num("tasks").alias("tasks_closed"), _num("bugs").alias("bugs_fixed"),
-            clamp(F.round("dev_time_h", 1), low=0.0).alias("dev_time_h"), none.alias("prs_merged"), none.alias("build_success_pct"),
+            clamp(rounded("dev_time_h", 1), low=0.0).alias("dev_time_h"), none.alias("prs_merged"), none.alias("build_success_pct"),
             _bounded(F.col("focus_time_pct")).alias("focus_time_pct"), tools.alias("ai_tools"),
-            F.round("ai_share", 1).alias("ai_loc_share_pct"), "metric_date")
+            rounded("ai_share", 1).alias("ai_loc_share_pct"), "metric_date")
 
     @cached_property
     def ic_kpis(self) -> DataFrame:  # G30
@@ -404,8 +404,8 @@ class Gold:
         rows = base.join(units, "person_id", "left").join(git, "person_id", "left").join(
             self._closed_by_day, person_day, "left").join(self._ai_share, person_day, "left")
         return rows.select(
-            "person_id", "org_unit_id", "metric_date", _num("loc").alias("loc"), F.round(_num("ai_share"), 1).alias("ai_loc_share_pct"),
-            _num("prs_merged").alias("prs_merged"), F.round("avg_pr_cycle_time_h", 1).alias("pr_cycle_time_h"),
+            "person_id", "org_unit_id", "metric_date", _num("loc").alias("loc"), rounded(_num("ai_share"), 1).alias("ai_loc_share_pct"),
+            _num("prs_merged").alias("prs_merged"), rounded("avg_pr_cycle_time_h", 1).alias("pr_cycle_time_h"),
             _bounded(F.coalesce("focus_time_pct", F.lit(100.0))).alias("focus_time_pct"), _num("tasks").alias("tasks_closed"),
             _num("bugs").alias("bugs_fixed"), F.lit(None).cast("double").alias("build_success_pct"), _num("ai_sessions").alias("ai_sessions"))
 
@@ -433,7 +433,7 @@ class Gold:
     def _sections(self) -> DataFrame:
         named = {"task_delivery": self.task_delivery_rows, "code_quality": self.code_quality_rows, "ai_adoption": self.ai_rows,
                  "collaboration": self.collab_rows, "git_output": self.git_rows}
-        return union_all(df.withColumn("section_id", F.lit(n)) for n, df in named.items())
+        return self.materialized(union_all(df.withColumn("section_id", F.lit(n)) for n, df in named.items()))
 
     @cached_property
     def ic_histogram(self) -> DataFrame:  # G33

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from workmart.functions import fixed
 from workmart.functions.keys import unique_key
-from workmart.functions.scalars import clamp, file_category, filled, person_key, seconds_between, week
+from workmart.functions.scalars import clamp, file_category, filled, person_key, rounded, seconds_between, week
 from workmart.operators.latest import latest_by
 from workmart.operators.reshape import anchor_aggregate
 
@@ -106,6 +106,6 @@ def focus_metrics(meetings: DataFrame, hours: DataFrame) -> DataFrame:
     spent, plan = F.col("__hours"), F.col("working_hours_per_day")
     return rows.select(
         "tenant_id", "email", "day", unique_key("tenant_id", "email", "day").alias("unique_key"), "meetings_count",
-        F.round(spent, 4).alias("meeting_hours"), "working_hours_per_day",
-        F.round(clamp(F.lit(100.0) - spent / F.nullif(plan, F.lit(0.0)) * 100.0, low=0.0), 2).alias("focus_time_pct"),
-        F.round(clamp(plan - spent, low=0.0), 4).alias("dev_time_h"))
+        rounded(spent, 4).alias("meeting_hours"), "working_hours_per_day",
+        rounded(clamp(F.lit(100.0) - spent / F.nullif(plan, F.lit(0.0)) * 100.0, low=0.0), 2).alias("focus_time_pct"),
+        rounded(clamp(plan - spent, low=0.0), 4).alias("dev_time_h"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.functions.scalars import executive_title
+from workmart.functions.scalars import executive_title, rounded
 from workmart.operators.quantiles import exact_quantiles
+from workmart.operators.reshape import unpivot
 from workmart.operators.rollup import (
     Metrics, days_above_zero, fold_accuracy, in_period, mean, nothing, per, percent, person_bullet, seen,
     supported_ratio, team_bullet, total, total_if_any,
@@ -111,7 +112,7 @@ SECTIONS: dict[str, tuple[str, Callable[[], Metrics]]] = {
 
 def exec_summary(gold: Gold, period: Period = None) -> DataFrame:  # Q14
     rows = in_period(gold.exec_summary, period)
-    mean1 = lambda c: F.round(F.avg(c), 1).alias(c)
+    mean1 = lambda c: rounded(F.avg(c), 1).alias(c)
     return rows.groupBy("org_unit_id").agg(
         F.max("org_unit_name").alias("org_unit_name"), F.max("headcount").alias("headcount"), F.sum("tasks_closed").alias("tasks_closed"),
         F.sum("bugs_fixed").alias("bugs_fixed"), F.max("build_success_pct").alias("build_success_pct"), mean1("focus_time_pct"),
@@ -120,7 +121,7 @@ def exec_summary(gold: Gold, period: Period = None) -> DataFrame:  # Q14
 
 def team_members(gold: Gold, period: Period = None) -> DataFrame:  # Q14
     rows = in_period(gold.team_member, period)
-    mean1 = lambda c: F.round(F.avg(c), 1).alias(c)
+    mean1 = lambda c: rounded(F.avg(c), 1).alias(c)
     # Tools are few: the set is gathered from their names, not from all days.
     per_person = rows.groupBy("person_id", "org_unit_id").agg(
         F.max("display_name").alias("display_name"), F.max("seniority").alias("__seniority"), F.sum("tasks_closed").alias("tasks_closed"),
@@ -136,8 +137,8 @@ def ic_kpis(gold: Gold, period: Period = None) -> DataFrame:  # Q14
     rows = in_period(gold.ic_kpis, period)
     return rows.groupBy("person_id").agg(
         *[F.sum(c).alias(c) for c in ("loc", "prs_merged", "tasks_closed", "bugs_fixed", "ai_sessions")],
-        F.round(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"), F.avg("pr_cycle_time_h").alias("pr_cycle_time_h"),
-        F.round(F.avg("focus_time_pct"), 1).alias("focus_time_pct"), F.max("build_success_pct").alias("build_success_pct"))
+        rounded(F.avg("ai_loc_share_pct"), 1).alias("ai_loc_share_pct"), F.avg("pr_cycle_time_h").alias("pr_cycle_time_h"),
+        rounded(F.avg("focus_time_pct"), 1).alias("focus_time_pct"), F.max("build_success_pct").alias("build_success_pct"))
 
 
 def crm_kpis(gold: Gold, period: Period = None) -> DataFrame:  # Q13
@@ -169,12 +170,15 @@ def histogram(gold: Gold, period: Period = None) -> DataFrame:  # Q16
 
 def peer_cohort(gold: Gold, period: Period = None) -> DataFrame:  # Q16
     """Quartiles of the daily quartiles, as published."""
-    daily = in_period(gold.peer_cohort_stats, period)
+    daily = gold.materialized(in_period(gold.peer_cohort_stats, period))
     keys = ["cohort_seed", "kind", "metric_key"]
-    out = daily.groupBy(*keys).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.max("n").alias("n"))
-    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        out = out.join(exact_quantiles(daily, keys, name, {name: p}), keys, "left")
-    return out
+    spread = daily.groupBy(*keys).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.max("n").alias("n"))
+    wanted = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    # All three columns in one ranking; of each only its own quantile counts.
+    long = unpivot(daily, keys, {n: n for n in wanted}, "__name", "__v")
+    ranked = exact_quantiles(long, [*keys, "__name"], "__v", {f"__{n}": p for n, p in wanted.items()})
+    picked = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col(f"__{n}"))).alias(n) for n in wanted])
+    return spread.join(picked, keys, "left")
 
 
 def peer_cohort_exact(rows: DataFrame, people: DataFrame, period: Period = None) -> DataFrame:
