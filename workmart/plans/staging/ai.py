@@ -200,14 +200,14 @@ def cursor_events(t: Landed) -> DataFrame:
 def copilot_usage(t: Landed) -> DataFrame:
     who = ["tenant_id", "source_id", "user_login"]
     seats = latest_by(t("bronze_github_copilot.copilot_seats"), who, ["_extracted_at"], ["unique_key"])
-    seats = seats.filter(filled(F.trim("user_email"))).select(*who, normal_email("user_email").alias("email"))
+    seats = seats.filter(filled(F.trim("user_email"))).select(*who, normal_email("user_email").alias("__mail"))
     used = any_positive("code_acceptance_activity_count", "code_generation_activity_count", "loc_added_sum", "user_initiated_interaction_count")
     modes = {m: truth(m) for m in ("used_chat", "used_agent", "used_cli")}
     metrics = latest_by(t("bronze_github_copilot.copilot_user_metrics"), [*who, "day"], ["_extracted_at"], ["unique_key"])
     metrics = metrics.filter(filled(F.col("day")) & (used | modes["used_chat"] | modes["used_agent"] | modes["used_cli"]))
     df = metrics.join(seats, who)
     return _usage(
-        df, "copilot", "copilot", F.lit("insight_github_copilot"), unique_key=unique_key(*who, "day"), email=F.col("email"),
+        df, "copilot", "copilot", F.lit("insight_github_copilot"), unique_key=unique_key(*who, "day"), email=F.col("__mail"),
         day=day("day"), session_count=F.lit(1), lines_added=count0("loc_added_sum"), lines_removed=count0("loc_deleted_sum"),
         tool_use_offered=count0("code_generation_activity_count"), tool_use_accepted=count0("code_acceptance_activity_count"),
         agent_sessions=F.when(modes["used_agent"], 1), chat_requests=F.when(modes["used_chat"], 1),
