@@ -9,7 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workmart.plans.gold import Gold, people_view
+from workmart.plans.gold import Gold
 from workmart.sources.tables import read_table
 
 AS_OF = "2024-02-15 00:00:00"
@@ -61,9 +61,9 @@ class Given:
             "inline(array(named_struct('v', 1, '_extracted_at', timestamp'2024-01-01 00:00:00'), named_struct('v', 2, '_extracted_at', timestamp'2024-02-01 00:00:00')))")
         return both.selectExpr("*", "case when v = 1 then 'Hiring' else c_mktsegment end as department").drop("c_mktsegment", "v")
 
-    @cached_property
+    @property
     def people(self) -> DataFrame:
-        return people_view(self.employees)
+        return self.gold.people
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -200,7 +200,7 @@ class Given:
     @cached_property
     def gold(self) -> Gold:
         return Gold(self.spark, {
-            "people": self.people, "class_task_field_history": self.hist, "class_task_users": self.users, "class_task_worklogs": self.worklogs,
+            "bronze_bamboohr.employees": self.employees, "class_task_field_history": self.hist, "class_task_users": self.users, "class_task_worklogs": self.worklogs,
             "class_collab_email_activity": self.emails, "class_collab_meeting_activity": self.meetings, "class_collab_chat_activity": self.chats,
             "class_collab_document_activity": self.documents, "class_ai_dev_usage": self.ai_dev, "class_ai_assistant_usage": self.ai_assistant,
             "class_hr_working_hours": self.hours, "class_git_commits": self.commits, "class_git_file_changes": self.file_changes,

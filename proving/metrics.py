@@ -84,7 +84,7 @@ case("G22_crm_kpis", "metric_date:d person_id:s org_unit_id:s org_unit_name:s de
     lambda g: g.gold.crm_kpis)
 case("G23_crm_pipeline_now", "person_id:s org_unit_id:s pipeline_count:i pipeline_value:f",
      """select person_id, coalesce(org_unit_id, 'Unknown') org_unit_id, n pipeline_count, v pipeline_value from (select person_id, count(*) filter (not done) n,
-        round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0)) v from deals group by 1) left join crm_units using (person_id)""")(lambda g: g.gold.crm_pipeline_now)
+        round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0), 0) v from deals group by 1) left join crm_units using (person_id)""")(lambda g: g.gold.crm_pipeline_now)
 _FLOW = f"""select person_id, coalesce(org_unit_id, 'Unknown') org_unit_id, strftime(w, '%b %d') date_bucket, w::date metric_date, opened, closed, won from (
     select person_id, date_trunc('week', metric_date) w, sum(deals_opened) opened, sum(deals_closed) closed, sum(deals_won) won from ({_KPIS}) group by all) left join crm_units using (person_id)
     where opened > 0 or closed > 0"""
@@ -279,10 +279,10 @@ case("Q4_tenant_scope", "o_orderkey:i o_custkey:i", "select o_orderkey, o_custke
     lambda g: metrics.select_rows(metrics.scoped(g.orders.withColumn("tenant_id", F.col("o_orderstatus")), "F"), {"o_custkey": list(range(1, 10))},
                                   ["o_orderkey", "o_custkey"], ["-o_orderkey"], 40, 3))
 case("Q13_crm_kpis", "person_id:s deals_opened:i deals_closed:i deals_won:i comms_count:i deals_value_closed:f",
-     f"select person_id, sum(deals_opened) deals_opened, sum(deals_closed) deals_closed, sum(deals_won) deals_won, sum(comms_count) comms_count, round(sum(deals_value_closed)) deals_value_closed from ({_KPIS}) group by 1")(
+     f"select person_id, sum(deals_opened) deals_opened, sum(deals_closed) deals_closed, sum(deals_won) deals_won, sum(comms_count) comms_count, round(sum(deals_value_closed), 0) deals_value_closed from ({_KPIS}) group by 1")(
     lambda g: metrics.metric_query(g.gold, "crm_kpis"))
 case("Q13_crm_pipeline", "person_id:s pipeline_count:i pipeline_value:f",
-     "select person_id, count(*) filter (not done) pipeline_count, round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0)) pipeline_value from deals group by 1")(
+     "select person_id, count(*) filter (not done) pipeline_count, round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0), 0) pipeline_value from deals group by 1")(
     lambda g: metrics.metric_query(g.gold, "crm_pipeline"))
 case("Q13_crm_flow", "date_bucket:s opened:i closed:i won:i person_id:s metric_date:d", _FLOW)(lambda g: metrics.metric_query(g.gold, "crm_flow"))
 case("Q14_exec_summary", _EXEC_SPEC,

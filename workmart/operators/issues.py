@@ -231,7 +231,9 @@ def field_history(snapshot: DataFrame, events: DataFrame, meta: DataFrame,
     previous: an earlier result. Issues in it get only rows for events after
       their last event; the others get an initial row per field as well.
     """
-    meta = meta.select("source_id", "field_id", "field_name", "is_multi", "value_id_type")
+    # A source has a few thousand fields. Stored, the table has a known size, so
+    # the planner sends it to the events instead of shuffling them by field.
+    meta = store(meta.select("source_id", "field_id", "field_name", "is_multi", "value_id_type"))
     known_events = store(to_delta(events.drop("field_name").join(meta, ["source_id", "field_id"])))
     issues = snapshot.groupBy(*ISSUE).agg(
         F.min("id_readable").alias("id_readable"), F.min("created_at").alias("created_at"),

@@ -81,8 +81,9 @@ class Gold:
 
     `tables` maps class names (and `bronze_bamboohr.employees`,
     `bronze_jira.jira_issue`) to DataFrames; a class that is missing counts as
-    empty. Views are lazy, except the issue state and its intervals, which are
-    stored when first read.
+    empty. Views are lazy, except those that many others read (people, issue
+    state, status intervals, the stacked sections): they are stored when first
+    read.
     """
 
     spark: SparkSession
@@ -105,7 +106,7 @@ class Gold:
     def people(self) -> DataFrame:  # G1
         if "people" in self.tables:
             return self.tables["people"]
-        return people_view(self.tables["bronze_bamboohr.employees"])
+        return self.materialized(people_view(self.tables["bronze_bamboohr.employees"]))
 
     # --- marts ------------------------------------------------------------------------
     @cached_property
@@ -304,7 +305,7 @@ class Gold:
         is_open = F.col("is_closed") == 0
         per_rep = deals.groupBy("person_id").agg(
             F.count_if(is_open).alias("pipeline_count"),
-            F.round(F.sum(F.when(is_open, _num("amount_home")).otherwise(0.0))).alias("pipeline_value"))
+            rounded(F.sum(F.when(is_open, _num("amount_home")).otherwise(0.0)), 0).alias("pipeline_value"))
         return per_rep.join(bullets.crm_units(self.cls("class_people")), "person_id", "left").withColumn(
             "org_unit_id", F.coalesce("org_unit_id", F.lit("Unknown")))
 

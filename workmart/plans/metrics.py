@@ -145,7 +145,7 @@ def crm_kpis(gold: Gold, period: Period = None) -> DataFrame:  # Q13
     rows = in_period(gold.crm_kpis, period)
     return rows.groupBy("person_id").agg(
         *[F.sum(c).alias(c) for c in ("deals_opened", "deals_closed", "deals_won", "comms_count")],
-        F.round(F.sum("deals_value_closed")).alias("deals_value_closed"))
+        rounded(F.sum("deals_value_closed"), 0).alias("deals_value_closed"))
 
 
 def crm_pipeline(gold: Gold, period: Period = None) -> DataFrame:  # Q13: the state now, whatever the period
