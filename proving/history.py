@@ -10,6 +10,7 @@ from workmart.operators import history, issues
 from workmart.operators.latest import latest_by
 from workmart.plans.registry import Landed
 from workmart.plans.staging.people import seed_aliases, seed_identity_inputs, seed_persons
+from workmart.session import store
 
 TRACKED = ["status", "priority"]
 
@@ -210,7 +211,7 @@ def h12_incremental(g: Given):
     """The history up to 1998 is there; only later rows are made, from the
     state they find."""
     snapshot, events = _fold_input(g)
-    done = issues.field_history(snapshot, events, _meta(g)).filter("event_at <= '1998-01-01'")
+    done = store(issues.field_history(snapshot, events, _meta(g)).filter("event_at <= '1998-01-01'"))
     rows = issues.field_history(snapshot, events.filter("event_at > '1997-01-01'"), _meta(g), done)
     # Issues whose first event is after 1998 have their initial rows in `done`.
     return rows.filter("field_id = 'labels' and event_at > '1998-01-01'").withColumn("members", F.array_join(F.array_sort("value_ids"), "|"))
