@@ -3,6 +3,8 @@ aggregation, windows, set operations, functions."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F, types as T
 
 from proving.case import case
@@ -14,8 +16,9 @@ from workmart.operators.sessions import sessionize
 from workmart.plans.metrics import select_rows
 from workmart.plans.registry import union_by_class
 from workmart.plans.staging.ai import split_surfaces
-from workmart.sources.sinks import ephemeral, json_rows, promote, view
-from workmart.sources.tables import with_envelope
+from workmart.session import shared_folder
+from workmart.sources.sinks import append_table, ephemeral, json_rows, promote, refresh_materialized, replace_partitions, view, write_table
+from workmart.sources.tables import read_csv_fixture, with_envelope
 
 # --- sources and sinks ---------------------------------------------------------------
 
@@ -30,6 +33,38 @@ def s3(g: Given):
     return with_envelope(g.customer, "t1", "src", "crm", "c_name", ["c_mktsegment", "c_nationkey"], g.as_of)
 
 
+def _new(g: Given) -> str:
+    return f"{shared_folder(g.spark)}/workmart-case-{uuid.uuid4().hex}"
+
+
+@case("S2_read_csv_fixture", "n_nationkey:i n_name:s names:a", "select n_nationkey, n_name, [n_name, 'x'] names from nation")
+def s2(g: Given):
+    path = _new(g)
+    g.table("nation").selectExpr("n_nationkey", "n_name", "concat('[\\'', n_name, '\\', \\'x\\']') as names").write.csv(path, header=True)
+    kinds = T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("names", T.ArrayType(T.StringType()))])
+    return read_csv_fixture(g.spark, path, kinds)
+
+
+@case("S4_S5_write_and_append", "o_orderstatus:s n:i", "select o_orderstatus, count(*) + count(*) filter (o_totalprice > 200000) n from orders group by 1")
+def s4_s5(g: Given):
+    path = _new(g)
+    write_table(g.orders.filter("o_orderstatus = 'P'"), path, ["o_orderstatus"])
+    write_table(g.orders, path, ["o_orderstatus"])
+    append_table(g.orders.filter("o_totalprice > 200000"), path, ["o_orderstatus"])
+    return g.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@case("S4_replace_partitions", "o_orderstatus:s n:i", "select o_orderstatus, case when o_orderstatus = 'F' then count(*) filter (o_totalprice > 200000) else count(*) end n from orders group by 1")
+def s4_partitions(g: Given):
+    path = _new(g)
+    write_table(g.orders, path, ["o_orderstatus"])
+    replace_partitions(g.orders.filter("o_orderstatus = 'F' and o_totalprice > 200000"), path, ["o_orderstatus"])
+    return g.spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+case("S9_refresh_materialized", "k:i n:i", "select k, count(*) n from ev group by k")(
+    lambda g: refresh_materialized(lambda: g.ev.groupBy("k").agg(F.count(F.lit(1)).alias("n")), _new(g)))
+
 case("S7_view", "o_orderstatus:s n:i", "select o_orderstatus, count(*) n from orders group by 1")(
     lambda g: view(g.orders, "proving_orders").sparkSession.sql(
         "select o_orderstatus, count(*) n from proving_orders group by o_orderstatus"))

@@ -82,7 +82,7 @@ _KPIS = """select metric_date, person_id, sum(o) deals_opened, sum(c) deals_clos
 case("G22_crm_kpis", "metric_date:d person_id:s org_unit_id:s org_unit_name:s deals_opened:i deals_closed:i deals_won:i deals_value_closed:f comms_count:i",
      f"select k.*, coalesce(org_unit_id, 'Unknown') org_unit_id, coalesce(org_unit_id, 'Unknown') org_unit_name from ({_KPIS}) k left join crm_units using (person_id)")(
     lambda g: g.gold.crm_kpis)
-case("G23_crm_pipeline_now", "person_id:s org_unit_id:s pipeline_count:i pipeline_value:f",
+case("G23_crm_open_deals", "person_id:s org_unit_id:s pipeline_count:i pipeline_value:f",
      """select person_id, coalesce(org_unit_id, 'Unknown') org_unit_id, n pipeline_count, v pipeline_value from (select person_id, count(*) filter (not done) n,
         round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0), 0) v from deals group by 1) left join crm_units using (person_id)""")(lambda g: g.gold.crm_pipeline_now)
 _FLOW = f"""select person_id, coalesce(org_unit_id, 'Unknown') org_unit_id, strftime(w, '%b %d') date_bucket, w::date metric_date, opened, closed, won from (
@@ -267,9 +267,9 @@ case("Q2_period_below_aggregation", "metric_key:s people:i",
 
 
 @case("Q3_batch", "query:s rows:i",
-      f"""select 'crm' query, count(*) as rows from (select distinct person_id from ({_KPIS})) union all select 'pipeline', count(distinct person_id) from deals union all select 'wrong', -1 from region where r_regionkey = 0""")
+      f"""select 'crm' query, count(*) as rows from (select distinct person_id from ({_KPIS})) union all select 'open deals', count(distinct person_id) from deals union all select 'wrong', -1 from region where r_regionkey = 0""")
 def q3(g: Given):
-    out = metrics.batch_query(g.gold, {"crm": {"name": "crm_kpis"}, "pipeline": {"name": "crm_pipeline"}, "wrong": {"name": "no_such_query"}})
+    out = metrics.batch_query(g.gold, {"crm": {"name": "crm_kpis"}, "open deals": {"name": "crm_open_deals"}, "wrong": {"name": "no_such_query"}})
     wrong = g.table("region").filter("r_regionkey = 0").select(F.lit("wrong").alias("query"), F.lit(-1).cast("bigint").alias("rows"))
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("query"), "rows") for n, df in out.items() if isinstance(df, DataFrame)]
     return parts[0].unionByName(parts[1]).unionByName(wrong if isinstance(out["wrong"], KeyError) else wrong.limit(0))
@@ -281,9 +281,9 @@ case("Q4_tenant_scope", "o_orderkey:i o_custkey:i", "select o_orderkey, o_custke
 case("Q13_crm_kpis", "person_id:s deals_opened:i deals_closed:i deals_won:i comms_count:i deals_value_closed:f",
      f"select person_id, sum(deals_opened) deals_opened, sum(deals_closed) deals_closed, sum(deals_won) deals_won, sum(comms_count) comms_count, round(sum(deals_value_closed), 0) deals_value_closed from ({_KPIS}) group by 1")(
     lambda g: metrics.metric_query(g.gold, "crm_kpis"))
-case("Q13_crm_pipeline", "person_id:s pipeline_count:i pipeline_value:f",
+case("Q13_crm_open_deals", "person_id:s pipeline_count:i pipeline_value:f",
      "select person_id, count(*) filter (not done) pipeline_count, round(coalesce(sum(coalesce(amount_home, 0)) filter (not done), 0), 0) pipeline_value from deals group by 1")(
-    lambda g: metrics.metric_query(g.gold, "crm_pipeline"))
+    lambda g: metrics.metric_query(g.gold, "crm_open_deals"))
 case("Q13_crm_flow", "date_bucket:s opened:i closed:i won:i person_id:s metric_date:d", _FLOW)(lambda g: metrics.metric_query(g.gold, "crm_flow"))
 case("Q14_exec_summary", _EXEC_SPEC,
      f"""select org_unit_id, max(org_unit_name) org_unit_name, max(headcount) headcount, sum(tasks_closed) tasks_closed, sum(bugs_fixed) bugs_fixed, null build_success_pct, round(avg(focus_time_pct), 1) focus_time_pct,

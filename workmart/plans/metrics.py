@@ -148,7 +148,7 @@ def crm_kpis(gold: Gold, period: Period = None) -> DataFrame:  # Q13
         rounded(F.sum("deals_value_closed"), 0).alias("deals_value_closed"))
 
 
-def crm_pipeline(gold: Gold, period: Period = None) -> DataFrame:  # Q13: the state now, whatever the period
+def crm_open_deals(gold: Gold, period: Period = None) -> DataFrame:  # Q13: the state now, whatever the period
     return gold.crm_pipeline_now.select("person_id", "pipeline_count", "pipeline_value")
 
 
@@ -216,7 +216,7 @@ def _section(name: str, person: bool) -> Callable[..., DataFrame]:
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "exec_summary": exec_summary, "team_members": team_members, "ic_kpis": ic_kpis, "crm_kpis": crm_kpis,
-    "crm_pipeline": crm_pipeline, "crm_flow": crm_flow, "loc_trend": loc_trend, "delivery_trend": delivery_trend,
+    "crm_open_deals": crm_open_deals, "crm_flow": crm_flow, "loc_trend": loc_trend, "delivery_trend": delivery_trend,
     "histogram": histogram, "peer_cohort": peer_cohort, "section_trend": section_trend, "kpi_peers": kpi_peers,
     **{f"team_{n}": _section(n, person=False) for n in SECTIONS}, **{f"person_{n}": _section(n, person=True) for n in SECTIONS},
 }
