@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -58,7 +59,7 @@ def compare(spark, con, folder: str, name: str) -> tuple[list[str], int, float]:
 
 
 def main(folder: str, parts: list[str]) -> int:
-    spark = build_session("proving", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("proving", "local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="proving-"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0

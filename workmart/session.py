@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,11 @@ def build_session(app: str = "workmart", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`. Only a local session
-    without that setting gets a folder of its own."""
+    """The folder named by `spark.checkpoint.dir`, which driver and executors share. It must be set; nothing else is tried."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="workmart-checkpoint-")
-        context.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
