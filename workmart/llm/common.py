@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from workmart.session import store
 
-__all__ = ["cells_for", "labelled_sample", "read", "share_out", "store", "unit_interval", "with_rank"]
+__all__ = ["Recent", "cells_for", "labelled_sample", "read", "share_out", "store", "unit_interval", "with_rank"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,24 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column
     return picked[0].unionAll(picked[1]), sizes
 
 
+class Recent(dict):
+    """The last `most` to twice as many results of `make`."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def share_out(amount: float, weights: list[float], caps: list[float]) -> list[float]:
     """`amount` shared by weight; what is above a cap is shared again by weight among the others until none is above."""
     targets, open_, left = [0.0] * len(weights), set(range(len(weights))), float(amount)

@@ -27,29 +27,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from workmart.llm.common import Recent
+
 SPACE = "▁"
 #: Words that a worker remembers at least (at most twice as many), and the longest word that it remembers.
 KEPT_WORDS, LONGEST_KEPT = 300_000, 48
 
 
-class Recent(dict):
-    """The last `most` to twice as many results of `make`."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Strings:
     """Byte strings by number; `join` gives the strings of many numbers in one go."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workmart.llm import bfd_shards, pareto_mix, piece_table, warc_dict
+from workmart.llm import bfd_shards, ngram_join, pareto_mix, piece_table, warc_dict
 from workmart.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op4_bfd_shards(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op8_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc_dict.write(read(spark, folder, "pages"), warc_dict.archive_folder(spark))
     return warc_dict.read_back(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -31,5 +35,5 @@ def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op4_bfd_shards, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
+QUERIES = {q.__name__: q for q in (op4_bfd_shards, op5_ngram_join, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
 ORACLE: dict[str, str] = {}
