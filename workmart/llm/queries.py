@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from workmart.llm import bfd_shards, ngram_join, pareto_mix, piece_table, warc_dict
+from workmart.llm import bfd_shards, ngram_join, pareto_mix, piece_table, quality_fm, toxicity_ordinal, warc_dict
 from workmart.llm.common import read
 
 
+def held_out(id: str = "doc_id") -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2
+
+
+def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    machine = quality_fm.fit(docs, read(spark, folder, "labels"), keep=~held_out())
+    scored = quality_fm.score(docs, machine)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_bfd_shards(spark: SparkSession, folder: str) -> DataFrame:
     found = bfd_shards.shard(read(spark, folder, "documents").select("doc_id", "text"), shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -18,6 +30,11 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op7_toxicity_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return toxicity_ordinal.score(docs, toxicity_ordinal.fit(docs, read(spark, folder, "labels"))).select("doc_id", "severity", "p_toxic", "grade", "rejected")
+
+
 def op8_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc_dict.write(read(spark, folder, "pages"), warc_dict.archive_folder(spark))
     return warc_dict.read_back(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,5 +52,5 @@ def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op4_bfd_shards, op5_ngram_join, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
+QUERIES = {q.__name__: q for q in (op1_quality_fm, op4_bfd_shards, op5_ngram_join, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
 ORACLE: dict[str, str] = {}
