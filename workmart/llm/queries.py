@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from workmart.llm import bfd_shards, ngram_join, pareto_mix, piece_table, quality_fm, toxicity_ordinal, warc_dict
+from workmart.llm import bfd_shards, ngram_join, pareto_mix, pii_boost, piece_table, quality_fm, toxicity_ordinal, warc_dict
 from workmart.llm.common import read
 
 
@@ -14,6 +14,11 @@ def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % 4 == 2
 
 
+def usefulness() -> Column:
+    """Short texts are half or a quarter as useful to a mix as texts of 64 words and more."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.25), pareto_mix.words_of("text") / 64))
+
+
 def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "n_chars")
     machine = quality_fm.fit(docs, read(spark, folder, "labels"), keep=~held_out())
@@ -21,6 +26,11 @@ def op1_quality_fm(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"], outputs=("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"))
+
+
 def op4_bfd_shards(spark: SparkSession, folder: str) -> DataFrame:
     found = bfd_shards.shard(read(spark, folder, "documents").select("doc_id", "text"), shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,9 +52,7 @@ def op8_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "source", "text")
-    # short texts are half or a quarter as useful as texts of 64 words and more
-    useful = F.least(F.lit(1.0), F.greatest(F.lit(0.25), pareto_mix.words_of("text") / 64))
-    return pareto_mix.mix(docs, utility=useful).select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_mix.mix(docs, utility=usefulness()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,5 +60,5 @@ def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_fm, op4_bfd_shards, op5_ngram_join, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
+QUERIES = {q.__name__: q for q in (op1_quality_fm, op2_pii_boost, op4_bfd_shards, op5_ngram_join, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
 ORACLE: dict[str, str] = {}

@@ -3,7 +3,7 @@
 A text's severity is one of K ordered grades. One weight vector w over sparse text features is shared by K - 1 rising
 thresholds: P(grade > k) = 1 / (1 + exp(θk - w·x)). The score is the expected severity, the sum of these probabilities.
 
-Features are hashed words and hashed beginnings of words (4 and 5 letters; some languages put endings on a stem), counted
+Features are hashed words and hashed beginnings of words (4 to 7 letters; some languages put endings on a stem), counted
 over the whole text. Only those stay that the labelled sample ties to a grade above 0 or to grade 0 beyond chance; the
 others have weight 0. As the sum is linear, each word has one weight, which scoring looks up.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from workmart.llm.common import Recent, labelled_sample
 
 SAMPLE, BITS, GRADES, KEPT_WORDS = 4000, 20, 4, 200_000
-PARTS = (4, 5)
+PARTS = (4, 5, 6, 7)
 #: A text is rejected where P(grade > 0) is at least this.
 REJECT = 0.5
 
@@ -76,14 +76,14 @@ def count_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(rows or [empty]).astype(np.int64), np.concatenate(buckets or [empty]).astype(np.int64), np.concatenate(counts or [empty])
 
 
-def choose(rows: np.ndarray, buckets: np.ndarray, marked: np.ndarray, least: float = 4.0) -> np.ndarray:
+def choose(rows: np.ndarray, buckets: np.ndarray, marked: np.ndarray, least: float = 5.0) -> np.ndarray:
     """Features whose share of toxic texts differs from the whole sample's by `least` standard errors (log odds, half a text added)."""
     size = 1 << BITS
     on, off = np.bincount(buckets, weights=marked[rows].astype(float), minlength=size), np.bincount(buckets, weights=(~marked[rows]).astype(float), minlength=size)
     n_on, n_off = marked.sum(), (~marked).sum()
     gap = np.log((on + 0.5) / (n_on - on + 0.5)) - np.log((off + 0.5) / (n_off - off + 0.5))
     error = np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5) + 1 / (n_on - on + 0.5) + 1 / (n_off - off + 0.5))
-    return np.flatnonzero((np.abs(gap) > least * error) & (on + off >= 3))
+    return np.flatnonzero((np.abs(gap) > least * error) & (on + off >= 6))
 
 
 def fit_ordinal(rows, columns, counts, grades, importance, n_features: int, n_grades: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
