@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from workmart.llm import bfd_shards, ngram_join, pareto_mix, pii_boost, piece_table, quality_fm, toxicity_ordinal, warc_dict
+from workmart.llm import ads_search, bfd_shards, ngram_join, norm_topk, pareto_mix, pii_boost, piece_table, quality_fm, toxicity_ordinal, warc_dict
 from workmart.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op2_pii_boost(spark: SparkSession, folder: str) -> DataFrame:
     return pii_boost.find(docs, pii_boost.fit(docs), ["doc_id"], outputs=("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"))
 
 
+def op3_ads_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ads_search.search(read(spark, folder, "embeddings"), k=20, every=20)
+
+
 def op4_bfd_shards(spark: SparkSession, folder: str) -> DataFrame:
     found = bfd_shards.shard(read(spark, folder, "documents").select("doc_id", "text"), shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,6 +44,10 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op6_norm_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_topk.search(read(spark, folder, "embeddings"), k=20, every=20)
+
+
 def op7_toxicity_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return toxicity_ordinal.score(docs, toxicity_ordinal.fit(docs, read(spark, folder, "labels"))).select("doc_id", "severity", "p_toxic", "grade", "rejected")
@@ -60,5 +68,5 @@ def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_fm, op2_pii_boost, op4_bfd_shards, op5_ngram_join, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
+QUERIES = {q.__name__: q for q in (op1_quality_fm, op2_pii_boost, op3_ads_search, op4_bfd_shards, op5_ngram_join, op6_norm_topk, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
 ORACLE: dict[str, str] = {}
