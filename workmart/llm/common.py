@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from workmart.session import store
 
-__all__ = ["Recent", "cells_for", "labelled_sample", "read", "share_out", "store", "unit_interval", "with_rank"]
+__all__ = ["Recent", "cells_for", "labelled_sample", "read", "sample_rows", "share_out", "store", "unit_interval", "with_rank"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def with_rank(df: DataFrame, by: list[str], order: list[str], cells: int, name:
     return placed.join(starts, same).withColumn(name, (F.col("_start") + F.col("_cell_at")).cast("long")).drop("_cell", "_cell_at", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
+def sample_rows(df: DataFrame, keys: list[str], n: int, rows: int) -> DataFrame:
+    """At most `n` of the `rows` rows of `df`, by a hash of `keys`. Rows far from the first n are left out before anything is
+    ordered, so that what tasks send stays about n rows together, however many tasks there are."""
+    at = unit_interval(*keys, seed=3)
+    share = min(1.0, (n + 6 * n**0.5 + 20) / max(1, rows))
+    return df.withColumn("_at", at).filter(F.col("_at") < share).orderBy("_at", *keys).limit(n).drop("_at")
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column | None = None) -> tuple[DataFrame, dict[int, int]]:
     """At most `per_class` labelled ids of either class, chosen by a hash of the id, and how many there are of each class.
 
@@ -50,7 +58,7 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.lit(True) if keep is None else keep))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sizes = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
-    picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    picked = [sample_rows(known.filter(F.col("label") == c), ["doc_id"], per_class, sizes.get(c, 0)) for c in (0, 1)]
     return picked[0].unionAll(picked[1]), sizes
 
 
