@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from workmart.llm.common import store
+from workmart.llm.common import sample_rows, store
 from workmart.session import shared_folder
 
 #: Fixed values of the format: the dictionary frame's magic number and that of ordinary frames.
@@ -151,7 +151,7 @@ def write(pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z", lea
     joined = keyed.join(shared, "_key", "left")
     refers = F.when(F.col("_newest").isNotNull() & ~F.col("_newest").eqNullSafe(F.col("page_id")), F.col("_newest"))
     ready = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
-    sample = rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).orderBy(F.xxhash64("page_id", "url"), "page_id").limit(SAMPLE_ROWS).collect()
+    sample = sample_rows(rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")), ["page_id", "url"], SAMPLE_ROWS, rows.count()).collect()
     dictionary = build_dictionary([record(r["page_id"], r["url"], bytes(r["payload"]), None, date) for r in sample])
     target = _local(folder)
     run = uuid.uuid4().hex[:12]
