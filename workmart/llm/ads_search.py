@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import store
+from workmart.llm.common import sample_rows, store
 from workmart.llm.vectors import best, matrix, queries_of, ranked, squared, usable
 
 SAMPLE, TRIED, COLUMNS, EPSILON, SHARE = 20_000, 200, 16, 2.1, 0.96
@@ -110,7 +110,7 @@ def build(rows: DataFrame, queries: DataFrame, k: int, share: float = SHARE) ->
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(squared("v")).alias("longest")).first()
     if not facts["n"]:
         return None
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], dtype=np.float64)
+    sample = np.array([r["v"] for r in sample_rows(rows, ["id"], SAMPLE, facts["n"]).collect()], dtype=np.float64)
     dim = sample.shape[1] + 1
     index = Index(np.empty((0, dim)), np.linalg.qr(np.random.default_rng(1).normal(size=(dim, dim)))[0], float(facts["longest"]), 1)
     lists = int(max(1, min(np.sqrt(facts["n"]), len(sample) / 32)))
@@ -122,7 +122,7 @@ def build(rows: DataFrame, queries: DataFrame, k: int, share: float = SHARE) ->
                 yield pdf.assign(list=index.nearest_lists(index.further(matrix(pdf["v"])), 1)[:, 0].astype("int32"))
 
     placed = store(rows.mapInPandas(assign, "id long, v array<double>, list int"))
-    tried = queries.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(TRIED).collect()
+    tried = sample_rows(queries, ["id"], TRIED, queries.count()).collect()
     if tried:
         index.probes = probes_for(index, placed, np.array([r["id"] for r in tried]), np.array([r["v"] for r in tried], dtype=np.float64), k, share)
     return index, placed
