@@ -1,7 +1,7 @@
 """Exact top-k search by inner product over vectors grouped by length.
 
 Vectors are put into bands of falling length; long bands are cut into blocks. A query first learns a lower bound θ of
-its k-th best score from a bounded set of the longest vectors. A band whose longest vector l can't reach it, |q| l < θ, is
+its k-th best score from a bounded sample of the band of the longest vectors. A band whose longest vector l can't reach it, |q| l < θ, is
 never visited. In a visited band the local threshold is the cosine θ / (|q| l): where it's high, candidates are pruned by
 coordinates, that is by their product over the query's few largest coordinates plus the Cauchy-Schwarz bound of the rest;
 where it's low, only by length, |p| >= θ / |q|. What remains is verified by its full product. Ties at θ are never pruned, so
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import store
+from workmart.llm.common import sample_rows, store
 from workmart.llm.vectors import best, queries_of, ranked, squared, usable
 
 SCALE, SEEDS, BANDS, BLOCK, QUERY_BLOCK, FOCUS, STEEP, CHUNK = 64, 4096, 256, 16_384, 2_048, 4, 0.6, 256
@@ -109,9 +109,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id",
     for b in borders:
         band = band + F.when(F.col("n2") > b, 1).otherwise(0)
     rows = store(rows.withColumn("band", band))
-    facts = rows.groupBy("band").agg(F.max("n2").alias("longest"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")).collect()
+    facts = rows.groupBy("band").agg(F.max("n2").alias("longest"), F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")).collect()
     longest, pieces = {r["band"]: float(np.sqrt(r["longest"])) for r in facts}, {r["band"]: r["nb"] for r in facts}
-    seed_rows = rows.orderBy(F.desc("n2"), "id").limit(SEEDS).select("id", "v").collect()
+    top = max(facts, key=lambda r: r["band"])
+    seed_rows = sample_rows(rows.filter(F.col("band") == top["band"]).select("id", "v"), ["id"], SEEDS, top["n"]).collect()
     seed_ids, seeds = np.array([r["id"] for r in seed_rows], dtype=np.int64), whole([r["v"] for r in seed_rows])
     queries = queries_of(rows.select("id", "v"), every)
 
