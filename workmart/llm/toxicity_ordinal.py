@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from workmart.llm.common import Recent, labelled_sample
 
-SAMPLE, BITS, GRADES, KEPT_WORDS = 4000, 20, 4, 200_000
+SAMPLE, BITS, GRADES, KEPT_WORDS = 3000, 20, 4, 200_000
 PARTS = (4, 5, 6, 7)
 #: A text is rejected where P(grade > 0) is at least this.
 REJECT = 0.5
@@ -79,7 +79,8 @@ def count_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
 def choose(rows: np.ndarray, buckets: np.ndarray, marked: np.ndarray, least: float = 5.0) -> np.ndarray:
     """Features whose share of toxic texts differs from the whole sample's by `least` standard errors (log odds, half a text added)."""
     size = 1 << BITS
-    on, off = np.bincount(buckets, weights=marked[rows].astype(float), minlength=size), np.bincount(buckets, weights=(~marked[rows]).astype(float), minlength=size)
+    on = np.bincount(buckets[marked[rows]], minlength=size)
+    off = np.bincount(buckets, minlength=size) - on
     n_on, n_off = marked.sum(), (~marked).sum()
     gap = np.log((on + 0.5) / (n_on - on + 0.5)) - np.log((off + 0.5) / (n_off - off + 0.5))
     error = np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5) + 1 / (n_on - on + 0.5) + 1 / (n_off - off + 0.5))
@@ -134,15 +135,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if found["label"].nunique() < 2:
         return Model(np.empty(0, dtype=np.int64), np.empty(0), np.arange(2.0, 2.0 + GRADES - 1))
     buckets = [np.frombuffer(b, dtype=np.int32) for b in found["buckets"]]
-    rows, counts = np.repeat(np.arange(len(found)), [len(b) for b in buckets]), np.concatenate([np.frombuffer(c, dtype=np.float32) for c in found["counts"]]).astype(float)
-    return fit_sample(rows, np.concatenate(buckets).astype(np.int64), counts, found["label"].to_numpy() == 1, sizes)
+    rows, counts = np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for b in buckets]), np.concatenate([np.frombuffer(c, dtype=np.float32) for c in found["counts"]])
+    marked = found["label"].to_numpy() == 1
+    del found
+    return fit_sample(rows, np.concatenate(buckets), counts, marked, sizes)
 
 
 def fit_sample(rows, buckets, counts, marked: np.ndarray, sizes: dict[int, int]) -> Model:
     """sizes: labelled rows of either class; sampled rows stand for all of their class."""
     chosen = choose(rows, buckets, marked)
-    inside = np.isin(buckets, chosen)
-    rows, columns, counts = rows[inside], np.searchsorted(chosen, buckets[inside]), counts[inside]
+    known = np.zeros(1 << BITS, dtype=bool)
+    known[chosen] = True
+    inside = known[buckets]
+    rows, columns, counts = rows[inside], np.searchsorted(chosen, buckets[inside]), counts[inside].astype(float)
     importance = np.where(marked, sizes[1] / marked.sum(), sizes[0] / (~marked).sum())
     w, theta = fit_ordinal(rows, columns, counts, marked.astype(int), importance, len(chosen), 2)
     evidence = np.bincount(rows, weights=counts * w[columns], minlength=len(marked))
