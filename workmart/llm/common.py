@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from workmart.session import store
 
-__all__ = ["Recent", "cells_for", "labelled_sample", "read", "sample_rows", "share_out", "store", "unit_interval", "with_rank"]
+__all__ = ["Recent", "cells_for", "labelled_sample", "read", "sample_rows", "slices", "share_out", "store", "unit_interval", "with_rank"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,13 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column
     return picked[0].unionAll(picked[1]), sizes
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut short, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Recent(dict):
     """The last `most` to twice as many results of `make`."""
 

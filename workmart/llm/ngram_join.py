@@ -28,12 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent, store
+from workmart.llm.common import Recent, slices, store
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 256
 #: N-grams of a block: two blocks are in memory at once.
 BLOCK = 1_000_000
-KEPT_WORDS = 200_000
+KEPT_WORDS = 60_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, id: str, text: str, words: int, bands: int, rows
 
     def run(batches):
         shingler = Shingler(words, bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, found = [], []
             for value in batch.column(2):
                 s = shingler.shingles(value.as_py())
@@ -203,7 +203,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
 
     def cut(batches):
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingler.shingles(t.as_py())).tobytes() for t in batch.column(5)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(sets, pa.binary())], names=["part", "block", "blocks", "node", "copies", "grams"])
 

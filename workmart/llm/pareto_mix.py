@@ -69,7 +69,7 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[float, ...] = WEIGHTS,
     sizes = [sum(w for _, w in by[s]) for s in order]
     targets = source_targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, most_copies)
     rows = [(s, u, z, t, c) for s, z, t in zip(order, sizes, targets) for u, c in _expected(by[s], t, most_copies).items()]
-    plan = spark.createDataFrame(rows, "_ps string, _pu double, source_size long, target double, _expected double")
+    plan = store(spark.createDataFrame(rows, "_ps string, _pu double, source_size long, target double, _expected double").coalesce(1))  # as a table its size is known
     cells = cells_for(sum(r["rows"] for r in sums))
 
     # a rest of λ has the inclusion odds λ / (1 - λ); rank: odds ratio brought to (0, 1)

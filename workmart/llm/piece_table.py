@@ -27,11 +27,11 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent
+from workmart.llm.common import Recent, slices
 
 SPACE = "▁"
 #: Words that a worker remembers at least (at most twice as many), and the longest word that it remembers.
-KEPT_WORDS, LONGEST_KEPT = 300_000, 48
+KEPT_WORDS, LONGEST_KEPT = 100_000, 48
 
 
 class Strings:
@@ -207,7 +207,7 @@ def encode(df: DataFrame, model_path: str, keep: list[str], text: str = "text",
 
     def run(batches):
         table = table_of(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1)
             made: list[list] = [[] for _ in outputs]
             for value in texts:

@@ -23,9 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from workmart.llm.common import Recent, labelled_sample
+from workmart.llm.common import Recent, labelled_sample, slices
 
-SAMPLE, BITS, FACTORS, EPOCHS, KEPT_WORDS = 4000, 14, 8, 12, 200_000
+SAMPLE, BITS, FACTORS, EPOCHS, KEPT_WORDS = 4000, 14, 8, 12, 60_000
 #: Borders of the bins: shares, and sizes.
 SHARES = np.array([0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8, 0.95])
 SIZES = np.array([0, 1, 3, 6, 12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400, 12800, 51200])
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
 
     def features(batches):
         maker = Features()
-        for batch in batches:
+        for batch in slices(batches):
             made = [maker.of(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())],
                                              names=["doc_id", "label", "features", "vals"])
@@ -145,7 +145,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches):
         maker = Features()
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([machine.raw(*maker.of(t.as_py(), c.as_py())) for t, c in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))])
             scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 2)] + [pa.array(scores, pa.float64())], names=names)

@@ -28,9 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent, labelled_sample
+from workmart.llm.common import Recent, labelled_sample, slices
 
-SAMPLE, BITS, GRADES, KEPT_WORDS = 3000, 20, 4, 200_000
+SAMPLE, BITS, GRADES, KEPT_WORDS = 3000, 20, 4, 60_000
 PARTS = (4, 5, 6, 7)
 #: A text is rejected where P(grade > 0) is at least this.
 REJECT = 0.5
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sample = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(picked.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"])
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, buckets, counts = count_features([None if (v := t.as_py()) is None else v.encode() for t in batch.column(1)])
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             cut = lambda a, kind: pa.array([a[ends[i] : ends[i + 1]].astype(kind).tobytes() for i in range(batch.num_rows)], pa.binary())
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         evidence_of = model.evidence_of()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1)
             evidence = np.array([sum(map(evidence_of.__getitem__, t.as_py().encode().split())) if t.is_valid else 0.0 for t in texts])
             p = model.above(evidence)
