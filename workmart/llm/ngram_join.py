@@ -94,6 +94,27 @@ def _digest(text: str):
     return F.unhex(F.sha2(F.col(f"`{text}`"), 256))
 
 
+#: Words of a sieve. Its size is fixed: with more texts than bits it lets all through, and the joins behind it do the work.
+SIEVE = 1 << 17
+
+
+def _places(digest: str) -> tuple:
+    return F.expr(f"cast(pmod(xxhash64({digest}), {SIEVE}) as int)"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({digest}), 32), 64) as int))")
+
+
+def sieve(df: DataFrame) -> DataFrame:
+    """One bit for each digest of `df`, as at most SIEVE rows of 64 bits."""
+    word, bit = _places("digest")
+    return df.filter("digest is not null").groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def sifted(df: DataFrame, bits: DataFrame, digest: str) -> DataFrame:
+    """`df` with _maybe: false where the digest is surely not among those of the sieve."""
+    word, bit = _places(digest)
+    joined = df.join(F.broadcast(bits), word == F.col("_word"), "left")
+    return joined.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def signatures(docs: DataFrame, id: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, digest, n (n-grams), bands, row (a number for each row), stored."""
 
@@ -199,6 +220,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
 
     # the texts of candidates are read again; only they are cut into n-grams for the test
     full = docs.select(F.col(f"`{id}`").cast("long").alias("_id"), _digest(text).alias("_digest"), F.col(f"`{text}`").alias("text"))
+    full = sifted(full, store(sieve(member)), "_digest").filter("_maybe")
     full = full.join(member, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("first_id")))
 
     def cut(batches):
@@ -243,10 +265,16 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, with the columns of `docs`; texts without a word all stay, once for each id."""
-    kept = join(docs, id, text).filter("first").select(F.col("doc_id").alias("_kid"), F.coalesce("digest", F.lit(b"")).alias("_kdigest")).distinct()
+    """One document of each class, with the columns of `docs`; texts without a word all stay.
+
+    Only texts that share a digest's place with a dropped one are shuffled.
+    """
+    found = store(join(docs, id, text))
+    bits = store(sieve(found.filter("not first")))
+    kept = found.filter("first").select(F.col("doc_id").alias("_kid"), F.coalesce("digest", F.lit(b"")).alias("_kdigest")).distinct()
     blank = F.trim(F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    own = docs.withColumn("_own", F.when(blank, F.lit(b"")).otherwise(_digest(text)))
-    left = own.join(store(kept), F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_kid")) & (F.col("_own") == F.col("_kdigest")), "left_semi")
+    own = sifted(docs.withColumn("_own", F.when(blank, F.lit(b"")).otherwise(_digest(text))), bits, "_own")
+    left = own.filter("_maybe").join(kept, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_kid")) & (F.col("_own") == F.col("_kdigest")), "left_semi")
     # rows that repeat id and text are copies too
-    return left.dropDuplicates([id, "_own"]).drop("_own")
+    left = left.dropDuplicates([id, "_own"])
+    return own.filter("not _maybe").unionByName(left).select(*docs.columns)
