@@ -88,7 +88,7 @@ def verify(ids: np.ndarray, p: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
             floor = np.partition(scores, -k)[-k]
             some = np.flatnonzero(scores >= floor)
             at, scores = at[some], scores[some]
-        top = np.lexsort((ids[at], -scores))[:k]
+        top = np.lexsort((ids[at], np.invert(scores)))[:k]  # falling; the least long has no negative
         out.append((np.full(len(top), query_ids[n]), ids[at[top]], scores[top]))
     return tuple(np.concatenate(parts) for parts in zip(*out)) if out else (np.empty(0, dtype=np.int64),) * 3
 

@@ -76,15 +76,16 @@ def count_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(rows or [empty]).astype(np.int64), np.concatenate(buckets or [empty]).astype(np.int64), np.concatenate(counts or [empty])
 
 
-def choose(rows: np.ndarray, buckets: np.ndarray, marked: np.ndarray, least: float = 5.0) -> np.ndarray:
-    """Features whose share of toxic texts differs from the whole sample's by `least` standard errors (log odds, half a text added)."""
+def choose(rows: np.ndarray, buckets: np.ndarray, marked: np.ndarray, least: float = 24.0) -> np.ndarray:
+    """Features that toxic and other texts have in different shares: the likelihood ratio statistic is `least` or more (by chance, one in a million)."""
     size = 1 << BITS
     on = np.bincount(buckets[marked[rows]], minlength=size)
     off = np.bincount(buckets, minlength=size) - on
     n_on, n_off = marked.sum(), (~marked).sum()
-    gap = np.log((on + 0.5) / (n_on - on + 0.5)) - np.log((off + 0.5) / (n_off - off + 0.5))
-    error = np.sqrt(1 / (on + 0.5) + 1 / (off + 0.5) + 1 / (n_on - on + 0.5) + 1 / (n_off - off + 0.5))
-    return np.flatnonzero((np.abs(gap) > least * error) & (on + off >= 6))
+    share, total = (on + off) / (n_on + n_off), np.zeros(size)
+    for seen, expected in ((on, n_on * share), (off, n_off * share), (n_on - on, n_on * (1 - share)), (n_off - off, n_off * (1 - share))):
+        total += 2 * seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+    return np.flatnonzero(total >= least)
 
 
 def fit_ordinal(rows, columns, counts, grades, importance, n_features: int, n_grades: int, rounds: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
