@@ -107,7 +107,7 @@ class Given:
     @cached_property
     def emails(self) -> DataFrame:
         return self._daily("'view'", "count(*) as sent_count", "sum(k) as received_count", "min(k) as read_count").withColumn(
-            "data_source", F.lit("insight_m365"))
+            "data_source", F.lit("m365"))
 
     @cached_property
     def meetings(self) -> DataFrame:
@@ -115,17 +115,17 @@ class Given:
             "'click','error'", "count(*) as meetings_attended", "count_if(k > 50) as calls_count",
             "cast(sum(round(value * 10)) as bigint) as audio_duration_seconds", "sum(k) as video_duration_seconds",
             "max(k) as screen_share_duration_seconds").withColumn(
-            "data_source", E("case when event_type = 'click' then 'insight_m365' else 'insight_zoom' end"))
+            "data_source", E("case when event_type = 'click' then 'm365' else 'zoom' end"))
 
     @cached_property
     def chats(self) -> DataFrame:
         return self._daily("'signup','purchase'", "sum(k % 7) as total_chat_messages", "sum(k % 3) as channel_posts").withColumn(
-            "data_source", E("case when event_type = 'signup' then 'insight_m365' else 'insight_slack' end"))
+            "data_source", E("case when event_type = 'signup' then 'm365' else 'slack' end"))
 
     @cached_property
     def documents(self) -> DataFrame:
         return self._daily("'purchase'", "count(*) as shared_internally_count", "sum(k % 2) as shared_externally_count",
-                           "sum(k % 5) as viewed_or_edited_count").withColumn("data_source", F.lit("insight_m365"))
+                           "sum(k % 5) as viewed_or_edited_count").withColumn("data_source", F.lit("m365"))
 
     @cached_property
     def ai_dev(self) -> DataFrame:
@@ -254,10 +254,10 @@ DERIVED = {
     "users": "select 'u' || c_custkey user_id, c_name email from customer",
     "worklogs": "select 'u' || user_id author_id, ts work_date, round(value * 60) duration_seconds from ev where event_type = 'purchase'",
     "emails": _daily("'view'", "count(*) sent_count, sum(k) received_count, min(k) read_count"),
-    "meetings": "select *, case when event_type = 'click' then 'insight_m365' else 'insight_zoom' end data_source from (" + _daily(
+    "meetings": "select *, case when event_type = 'click' then 'm365' else 'zoom' end data_source from (" + _daily(
         "'click','error'", """count(*) meetings_attended, count(*) filter (k > 50) calls_count, sum(round(value * 10))::bigint audio_duration_seconds,
         sum(k)::bigint video_duration_seconds, max(k) screen_share_duration_seconds""") + ")",
-    "chats": "select *, case when event_type = 'signup' then 'insight_m365' else 'insight_slack' end data_source from (" + _daily(
+    "chats": "select *, case when event_type = 'signup' then 'm365' else 'slack' end data_source from (" + _daily(
         "'signup','purchase'", "sum(k % 7) total_chat_messages, sum(k % 3) channel_posts") + ")",
     "files": _daily("'purchase'", "count(*) shared_internally_count, sum(k % 2) shared_externally_count, sum(k % 5) viewed_or_edited_count"),
     "ai_dev": """select *, case event_type when 'view' then 'cursor' when 'click' then 'claude_code' when 'error' then 'codex' else 'copilot' end tool from (""" + _daily(
@@ -363,20 +363,20 @@ DERIVED = {
           union all select person_key, date, 'm365_emails_read', read_count from emails
           union all select person_key, date, unnest(['meeting_hours','meetings_count','teams_meeting_hours','zoom_meeting_hours','teams_meetings','zoom_meetings','meeting_free']),
             unnest([h, n, th, zh, tn, zn, free]) from (
-              select person_key, date, sum(hrs) h, sum(meetings_attended)::double n, coalesce(sum(hrs) filter (data_source = 'insight_m365'), 0) th,
-                coalesce(sum(hrs) filter (data_source = 'insight_zoom'), 0) zh, coalesce(sum(meetings_attended) filter (data_source = 'insight_m365'), 0)::double tn,
-                coalesce(sum(meetings_attended) filter (data_source = 'insight_zoom'), 0)::double zn,
+              select person_key, date, sum(hrs) h, sum(meetings_attended)::double n, coalesce(sum(hrs) filter (data_source = 'm365'), 0) th,
+                coalesce(sum(hrs) filter (data_source = 'zoom'), 0) zh, coalesce(sum(meetings_attended) filter (data_source = 'm365'), 0)::double tn,
+                coalesce(sum(meetings_attended) filter (data_source = 'zoom'), 0)::double zn,
                 case when sum(audio_duration_seconds + video_duration_seconds + screen_share_duration_seconds) = 0 then 1.0 else 0.0 end::double free
               from (select *, greatest(audio_duration_seconds, video_duration_seconds, screen_share_duration_seconds) / 3600.0 hrs from meetings) group by all)
-          union all select person_key, date, 'm365_teams_chats', total_chat_messages from chats where data_source = 'insight_m365'
-          union all select person_key, date, 'slack_messages_sent', total_chat_messages from chats where data_source = 'insight_slack'
-          union all select person_key, date, 'slack_channel_posts', channel_posts from chats where data_source = 'insight_slack'
-          union all select person_key, date, 'slack_active_days', case when total_chat_messages > 0 then 1 else 0 end from chats where data_source = 'insight_slack'
+          union all select person_key, date, 'm365_teams_chats', total_chat_messages from chats where data_source = 'm365'
+          union all select person_key, date, 'slack_messages_sent', total_chat_messages from chats where data_source = 'slack'
+          union all select person_key, date, 'slack_channel_posts', channel_posts from chats where data_source = 'slack'
+          union all select person_key, date, 'slack_active_days', case when total_chat_messages > 0 then 1 else 0 end from chats where data_source = 'slack'
           union all select person_key, date, 'm365_files_shared_internal', shared_internally_count from files
           union all select person_key, date, 'm365_files_shared_external', shared_externally_count from files
           union all select person_key, date, 'm365_files_engaged', viewed_or_edited_count from files
           union all select person_key, date, 'm365_active_days', case when sum(a) > 0 then 1 else 0 end from (
-            select person_key, date, sent_count a from emails union all select person_key, date, total_chat_messages from chats where data_source = 'insight_m365'
+            select person_key, date, sent_count a from emails union all select person_key, date, total_chat_messages from chats where data_source = 'm365'
             union all select person_key, date, shared_internally_count + shared_externally_count + viewed_or_edited_count from files) group by all
         ) r left join people using (person_id)""",
     "ai_rows": """select r.*, org_unit_id from (

@@ -119,7 +119,7 @@ case("O2_outcome_counts", "outcome:s accounts:i", f"select outcome, count(*) acc
       f"""with o as ({_OUTCOME}), r as (select o.*, case when outcome = 'linked_by_email' then 'auto-seed-link' else '' end reason from o where person_id is not null)
           select source_type, person_id, 'email' value_type, unnest(['old@x', c_name]) value_id, null value_full_text, reason from r where source_type = 'hr' and c_nationkey <> 3
           union all select source_type, person_id, 'email', upper(c_name), null, reason from r where source_type = 'chat'
-          union all select source_type, person_id, 'display_name', null, 'Name ' || c_custkey, reason from r where source_type = 'hr' and c_custkey <> 1""")
+          union all select source_type, person_id, 'display_name', null, case when c_custkey = 1 then repeat('long', 200) else 'Name ' || c_custkey end, reason from r where source_type = 'hr'""")
 def o3(g: Given):
     p = People(g)
     return identity.observations(p.inputs, p.assigned, "me")

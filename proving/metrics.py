@@ -22,22 +22,22 @@ case("G2_commits_daily", "person_id:s metric_date:d commits:i",
      "select w.person_key person_id, week metric_date, commits from git_weekly w join people p on p.person_id = w.person_key where status = 'Active'")(
     lambda g: g.gold.commits_daily)
 case("G3_zoom_person_daily", "person_id:s metric_date:d user_email:s zoom_calls:i meeting_hours:f",
-     "select person_key person_id, date metric_date, person_key user_email, calls_count zoom_calls, audio_duration_seconds / 3600.0 meeting_hours from meetings where data_source = 'insight_zoom'")(
+     "select person_key person_id, date metric_date, person_key user_email, calls_count zoom_calls, audio_duration_seconds / 3600.0 meeting_hours from meetings where data_source = 'zoom'")(
     lambda g: g.gold.zoom_person_daily)
 case("G4_teams_person_daily", "person_id:s metric_date:d teams_messages:f teams_meetings:f teams_calls:f",
      """select coalesce(c.person_key, m.person_key) person_id, coalesce(c.date, m.date) metric_date, coalesce(total_chat_messages, 0) teams_messages, coalesce(meetings_attended, 0) teams_meetings,
-        coalesce(calls_count, 0) teams_calls from (select * from chats where data_source = 'insight_m365') c full join (select * from meetings where data_source = 'insight_m365') m
+        coalesce(calls_count, 0) teams_calls from (select * from chats where data_source = 'm365') c full join (select * from meetings where data_source = 'm365') m
         on c.person_key = m.person_key and c.date = m.date""")(lambda g: g.gold.teams_person_daily)
 case("G5_files_person_daily", "person_id:s metric_date:d files_shared:f",
      "select person_key person_id, date metric_date, sum(shared_internally_count + shared_externally_count) files_shared from files group by all")(lambda g: g.gold.files_person_daily)
 case("G6_email_daily", "person_id:s metric_date:d user_email:s emails_sent:f source:s",
-     "select person_key person_id, date metric_date, person_key user_email, sent_count emails_sent, 'insight_m365' source from emails")(lambda g: g.gold.email_daily)
+     "select person_key person_id, date metric_date, person_key user_email, sent_count emails_sent, 'm365' source from emails")(lambda g: g.gold.email_daily)
 case("G7_comms_daily", "person_id:s metric_date:d emails_sent:f zoom_calls:f meeting_hours:f teams_messages:f teams_meetings:f files_shared:f",
      """select person_id, metric_date, sum(a) emails_sent, sum(b) zoom_calls, sum(c) meeting_hours, sum(d) teams_messages, sum(e) teams_meetings, sum(f) files_shared from (
         select person_key person_id, date metric_date, sent_count a, 0 b, 0.0::double c, 0 d, 0 e, 0 f from emails
-        union all select person_key, date, 0, calls_count, audio_duration_seconds / 3600.0, 0, 0, 0 from meetings where data_source = 'insight_zoom'
-        union all select person_key, date, 0, 0, 0, total_chat_messages, 0, 0 from chats where data_source = 'insight_m365'
-        union all select person_key, date, 0, 0, 0, 0, meetings_attended, 0 from meetings where data_source = 'insight_m365'
+        union all select person_key, date, 0, calls_count, audio_duration_seconds / 3600.0, 0, 0, 0 from meetings where data_source = 'zoom'
+        union all select person_key, date, 0, 0, 0, total_chat_messages, 0, 0 from chats where data_source = 'm365'
+        union all select person_key, date, 0, 0, 0, 0, meetings_attended, 0 from meetings where data_source = 'm365'
         union all select person_key, date, 0, 0, 0, 0, 0, shared_internally_count + shared_externally_count from files) group by all""")(lambda g: g.gold.comms_daily)
 
 
@@ -319,9 +319,9 @@ def _catalog(g: Given) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metrics are parts, thresholds come from line items, contexts from customers."""
     catalog = g.table("part").selectExpr("cast(p_partkey as string) as metric_key", "p_size > 3 as is_enabled")
     scopes = "array('product-default','tenant','role','team','team+role')"
-    lines = g.lineitem.groupBy("l_partkey", "l_linenumber").agg(F.max("l_extendedprice").alias("good"), F.min("l_extendedprice").alias("warn"), F.min("l_suppkey").alias("s"))
-    rows = lines.filter("l_linenumber <= 5").selectExpr(
-        "cast(l_partkey as string) as metric_key", f"element_at({scopes}, l_linenumber) as scope", "'t1' as tenant_id", "'dev' as role_slug", "'MACHINERY' as team_id", "good", "warn",
+    lines = g.lineitem.withColumn("r", (F.col("l_linenumber") - 1) % 5 + 1).groupBy("l_partkey", "r").agg(F.max("l_extendedprice").alias("good"), F.min("l_extendedprice").alias("warn"), F.min("l_suppkey").alias("s"))
+    rows = lines.selectExpr(
+        "cast(l_partkey as string) as metric_key", f"element_at({scopes}, cast(r as int)) as scope", "'t1' as tenant_id", "'dev' as role_slug", "'MACHINERY' as team_id", "good", "warn",
         "cast(null as double) as alert_trigger", "cast(null as double) as alert_bad", "s % 9 = 0 as is_locked")
     contexts = g.customer.selectExpr("case when c_nationkey < 20 then 't1' else 't2' end as tenant_id", "case when c_nationkey % 2 = 0 then 'dev' else 'ops' end as role_slug", "c_mktsegment as team_id")
     return catalog, rows, contexts
@@ -329,7 +329,7 @@ def _catalog(g: Given) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 case("Q17_resolve_thresholds", "tenant_id:s role_slug:s team_id:s metric_key:s scope:s good:f warn:f bounded_by_lock:b",
      """with c as (select distinct case when c_nationkey < 20 then 't1' else 't2' end tenant_id, case when c_nationkey % 2 = 0 then 'dev' else 'ops' end role_slug, c_mktsegment team_id from customer),
-        t as (select l_partkey::varchar metric_key, l_linenumber r, max(l_extendedprice) good, min(l_extendedprice) warn, min(l_suppkey) % 9 = 0 locked from lineitem where l_linenumber <= 5 group by 1, 2),
+        t as (select l_partkey::varchar metric_key, (l_linenumber - 1) % 5 + 1 r, max(l_extendedprice) good, min(l_extendedprice) warn, min(l_suppkey) % 9 = 0 locked from lineitem group by 1, 2),
         m as (select c.*, t.* from c join t on r = 1 or (r = 2 and tenant_id = 't1') or (r = 3 and tenant_id = 't1' and role_slug = 'dev') or (r = 4 and tenant_id = 't1' and team_id = 'MACHINERY')
           or (r = 5 and tenant_id = 't1' and role_slug = 'dev' and team_id = 'MACHINERY')),
         k as (select *, min(case when locked then r end) over (partition by tenant_id, role_slug, team_id, metric_key) as stop from m)

@@ -38,7 +38,7 @@ _SMAIL = "concat('Customer#', lpad(cast(o_custkey as string), 9, '0'))"
 
 case("M_github_commits", _COMMIT,
      f"""select 'c' || o_orderkey commit_hash, 'org' project_key, {_MAIL} author_email, o_orderdate::date date, trunc(o_totalprice)::bigint lines_added, 0 lines_removed, 2 files_changed,
-         (o_orderstatus = 'P')::int is_merge_commit, 'insight_github' data_source from orders""")(
+         (o_orderstatus = 'P')::int is_merge_commit, 'github' data_source from orders""")(
     lambda g: build_class("class_git_commits", _land(g, bronze_github__commits=_o(
         g, "'org' as repo_owner", "'r' as repo_name", "concat('c', o_orderkey) as oid", f"{_SMAIL} as author_email", "cast(o_orderdate as string) as committed_date",
         "cast(o_totalprice as bigint) as additions", "cast(null as bigint) as deletions", "2 as changed_files",
@@ -66,7 +66,7 @@ def _bitbucket(g: Given) -> Landed:
 _FILES = "(select l_orderkey, count(*) n, sum(q)::bigint added from (select l_orderkey, l_partkey, trunc(max(l_quantity)) q from lineitem group by all) group by 1)"
 case("M_bitbucket_commits", _COMMIT,
      f"""select 'c' || o_orderkey commit_hash, 'ws' project_key, {_MAIL} author_email, o_orderdate::date date, coalesce(added, 0) lines_added, 0 lines_removed, coalesce(n, 0) files_changed,
-         (o_orderstatus = 'P')::int is_merge_commit, 'insight_bitbucket_cloud' data_source from orders left join {_FILES} f on l_orderkey = o_orderkey""")(
+         (o_orderstatus = 'P')::int is_merge_commit, 'bitbucket_cloud' data_source from orders left join {_FILES} f on l_orderkey = o_orderkey""")(
     lambda g: build_class("class_git_commits", _bitbucket(g)))
 case("M_bitbucket_pull_requests", "pr_id:i state:s author_name:s created_on:t closed_on:t files_changed:i lines_added:i",
      f"""select c_custkey pr_id, (['OPEN','MERGED','DECLINED'])[c_nationkey % 3 + 1] state, c_name author_name, timestamp '2024-01-01 10:00:00' created_on,
@@ -108,7 +108,7 @@ def _teams(g: Given) -> Landed:
 
 
 case("M_m365_chats", "unique_key:s person_key:s date:d direct_messages:i total_chat_messages:i data_source:s",
-     """select md5('t1-src-' || email || '-' || day) unique_key, lower(email) person_key, day date, sum(k) direct_messages, sum(k) + count(*) total_chat_messages, 'insight_m365' data_source
+     """select md5('t1-src-' || email || '-' || day) unique_key, lower(email) person_key, day date, sum(k) direct_messages, sum(k) + count(*) total_chat_messages, 'm365' data_source
         from ev group by email, day""")(lambda g: build_class("class_collab_chat_activity", _teams(g)))
 case("M_m365_meetings", "person_key:s date:d calls_count:i meetings_attended:i audio_duration_seconds:i video_duration_seconds:i screen_share_duration_seconds:i",
      """select lower(email) person_key, day date, sum(k % 3) calls_count, 0 meetings_attended, 3723 audio_duration_seconds, sum(k % 3) * 60 video_duration_seconds,
@@ -202,13 +202,13 @@ case("M_claude_admin_code", "email:s api_key_id:s day:d session_count:i lines_ad
      """select case when event_type <> 'error' then lower(email) end email, case when event_type = 'error' then user_id::varchar end api_key_id, day, count(*) session_count, sum(k) lines_added
         from ev where event_type <> 'error' or user_id % 2 = 0 group by email, user_id, day, event_type = 'error', case when event_type <> 'error' then lower(email) end, case when event_type = 'error' then user_id::varchar end""")(
     lambda g: ai.claude_admin_dev_usage(_land(
-        g, bronze_claude_admin__claude_admin_code_usage=_e(g, "'src' as insight_source_id", "if(event_type = 'error', 'api_actor', 'user') as actor_type", "email as actor_identifier",
+        g, bronze_claude_admin__claude_admin_code_usage=_e(g, "if(event_type = 'error', 'api_actor', 'user') as actor_type", "email as actor_identifier",
                                                            _DAY, "1 as session_count", "k as lines_added", *_nulls("lines_removed", "tool_use_accepted", "tool_use_rejected", "collected_at")),
         bronze_claude_admin__claude_admin_api_keys=g.customer.filter("c_custkey % 2 = 0").selectExpr(*_KEYS, _AT, "cast(c_custkey as string) as id", "upper(c_name) as name"))))
 case("M_claude_api", "unique_key:s day:d input_tokens:i cache_creation_tokens:i",
      "select 't1-src-ws:__null__-' || day || '-anthropic-api-' || event_type || '-__null__-__null__-' || event_id unique_key, day, k + 3 input_tokens, 2 cache_creation_tokens from ev")(
     lambda g: build_class("class_ai_api_usage", _land(g, bronze_claude_admin__claude_admin_messages_usage=_e(
-        g, "'src' as insight_source_id", _DAY, "event_type as model", "cast(event_id as string) as context_window", "k as uncached_input_tokens", "1 as cache_read_tokens",
+        g, _DAY, "event_type as model", "cast(event_id as string) as context_window", "k as uncached_input_tokens", "1 as cache_read_tokens",
         "2 as cache_creation_5m_tokens", *_nulls("workspace_id", "api_key_id", "service_tier", "cache_creation_1h_tokens", "output_tokens", "collected_at")))))
 case("M_openai_cost", "unique_id:s report_date:d amount_value:f", "select epoch_us(ts) // 1000000 || '|' || event_type || '|' unique_id, day report_date, value amount_value from ev")(
     lambda g: ai.openai_cost(_land(g, bronze_openai__costs=_e(g, "unix_seconds(ts) as bucket_start_time", "event_type as line_item", "cast(null as string) as project_id", "value as amount_value", "'usd' as amount_currency"))))

@@ -45,10 +45,10 @@ def test_group_is_case_insensitive_and_known_account_wins(table):
     assert again["6"] == got["6"][1]
 
 
-def test_routing_drops_too_long_values(table):
+def test_routing_keeps_long_values(table):
     df = table("t, v", dict(t="email", v="x" * 321), dict(t="email", v="a"), dict(t="job_title", v="y" * 513), dict(t="other", v="z" * 999))
     rows = df.select("t", identity.route_value(F.col("t"), F.col("v")).alias("r")).collect()
-    assert [(r.r.value_id, r.r.value_full_text, r.r.value and len(r.r.value)) for r in rows] == [(None, None, None), ("a", None, None), (None, None, None), (None, None, 999)]
+    assert [(r.r.value_id, r.r.value_full_text, r.r.value and len(r.r.value)) for r in rows] == [("x" * 321, None, None), ("a", None, None), (None, "y" * 513, None), (None, None, 999)]
 
 
 @pytest.mark.parametrize("name, first, last", [("Doe, Jane", "Jane", "Doe"), ("Jane van Doe", "Jane", "van Doe"), ("Cher", "Cher", ""), ("  ", "", "")])

@@ -26,4 +26,7 @@ def test_run(spark, tmp_path):
 
 
 def test_page_sizes():
-    assert [metrics.page_size(n) for n in (None, 0, 7, 999)] == [25, 1, 7, 200]
+    assert [metrics.page_size(n) for n in (None, 7, 200)] == [25, 7, 200]
+    for n in (0, 201, 999):
+        with pytest.raises(ValueError):
+            metrics.page_size(n)

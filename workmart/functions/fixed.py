@@ -46,8 +46,6 @@ TEXT_VALUE_TYPES = (
     "display_name", "first_name", "last_name",
     "department", "division", "job_title", "status",
 )
-MAX_ID_LENGTH = 320
-MAX_TEXT_LENGTH = 512
 
 # Threshold scopes from broad to narrow.
 THRESHOLD_SCOPES = ("product-default", "tenant", "role", "team", "team+role")

@@ -87,12 +87,12 @@ def resolution_counts(assignments: DataFrame) -> DataFrame:
 
 
 def route_value(value_type: Column, value: Column) -> Column:
-    """struct(value_id, value_full_text, value): exactly one is filled, none
-    when the value is too long for its place (O3)."""
+    """struct(value_id, value_full_text, value): exactly one is filled. A
+    value has no length limit: a column here is as wide as its values (O3)."""
     is_id, is_text = value_type.isin(*fixed.ID_VALUE_TYPES), value_type.isin(*fixed.TEXT_VALUE_TYPES)
     return F.struct(
-        F.when(is_id & (F.length(value) <= fixed.MAX_ID_LENGTH), value).alias("value_id"),
-        F.when(is_text & (F.length(value) <= fixed.MAX_TEXT_LENGTH), value).alias("value_full_text"),
+        F.when(is_id, value).alias("value_id"),
+        F.when(is_text, value).alias("value_full_text"),
         F.when(~is_id & ~is_text, value).alias("value"))
 
 
@@ -110,7 +110,8 @@ def observations(inputs: DataFrame, assignments: DataFrame, author: str) -> Data
         F.col("_synced_at").alias("created_at"))
     out = out.withColumn("value_effective", F.coalesce("value_id", "value_full_text", "value"))
     out = out.withColumn("value_hash", value_hash("value_effective"))
-    return out.dropDuplicates(["tenant_id", "person_id", "source_type", "source_id", "value_type", "value_hash", "created_at"])
+    # Of one fact's rows the one with the greatest reason stays: a link tells more than none.
+    return latest_by(out, ["tenant_id", "person_id", "source_type", "source_id", "value_type", "value_hash", "created_at"], ["reason"], ["author_person_id"])
 
 
 def account_person_map(persons: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ ATTRIBUTES = ("email", "display_name", "job_title", "status")
 
 
 def descend(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
-            group: Sequence[str] = (), limit: int = 1000) -> DataFrame:
+            group: Sequence[str] = ()) -> DataFrame:
     """All nodes below the seeds with their depth.
 
     seeds: [*group] person_id. edges: child_person_id, parent_person_id.
@@ -38,8 +38,6 @@ def descend(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None,
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        if depth > limit:
-            raise RuntimeError(f"tree deeper than {limit}")
         step = frontier.select(*group, F.col("person_id").alias("parent_person_id")).join(steps, "parent_person_id")
         reached = step.select(*group, F.col("child_person_id").alias("person_id"), "parent_person_id")
         # A node with two parents on one level keeps the smaller parent id.

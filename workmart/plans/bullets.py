@@ -117,7 +117,7 @@ def _mailed(df: DataFrame) -> DataFrame:
 
 
 def collab_rows(emails: DataFrame, meetings: DataFrame, chats: DataFrame, documents: DataFrame, people: DataFrame) -> DataFrame:
-    m365, slack, zoom = ("insight_m365", "insight_slack", "insight_zoom")
+    m365, slack, zoom = ("m365", "slack", "zoom")
     of = lambda source: F.col("data_source") == source
     mail = _mailed(emails).filter(of(m365))
     sent = _rows(mail, "person_id", "date", {

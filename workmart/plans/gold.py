@@ -151,16 +151,16 @@ class Gold:
 
     @cached_property
     def zoom_person_daily(self) -> DataFrame:  # G3
-        rows = self._of("class_collab_meeting_activity", "insight_zoom").filter(filled(F.col("email")))
+        rows = self._of("class_collab_meeting_activity", "zoom").filter(filled(F.col("email")))
         return rows.select(F.lower("email").alias("person_id"), F.col("date").alias("metric_date"), F.lower("email").alias("user_email"),
                            F.coalesce("calls_count", F.lit(0)).alias("zoom_calls"),
                            (_num("audio_duration_seconds") / 3600.0).alias("meeting_hours"))
 
     @cached_property
     def teams_person_daily(self) -> DataFrame:  # G4
-        chats = self._of("class_collab_chat_activity", "insight_m365").select(
+        chats = self._of("class_collab_chat_activity", "m365").select(
             F.lower("email").alias("person_id"), F.col("date").alias("metric_date"), "total_chat_messages")
-        meetings = self._of("class_collab_meeting_activity", "insight_m365").select(
+        meetings = self._of("class_collab_meeting_activity", "m365").select(
             F.lower("email").alias("person_id"), F.col("date").alias("metric_date"), "meetings_attended", "calls_count")
         return chats.join(meetings, ["person_id", "metric_date"], "outer").select(
             "person_id", "metric_date", _num("total_chat_messages").alias("teams_messages"),
@@ -168,19 +168,19 @@ class Gold:
 
     @cached_property
     def files_person_daily(self) -> DataFrame:  # G5
-        rows = self._of("class_collab_document_activity", "insight_m365").filter(filled(F.col("email")))
+        rows = self._of("class_collab_document_activity", "m365").filter(filled(F.col("email")))
         return rows.groupBy(F.lower("email").alias("person_id"), F.col("date").alias("metric_date")).agg(
             F.sum(_num("shared_internally_count") + _num("shared_externally_count")).alias("files_shared"))
 
     @cached_property
     def email_daily(self) -> DataFrame:  # G6
-        return self._of("class_collab_email_activity", "insight_m365").select(
+        return self._of("class_collab_email_activity", "m365").select(
             F.lower("person_key").alias("person_id"), F.col("date").alias("metric_date"), F.lower("person_key").alias("user_email"),
             F.col("sent_count").cast("decimal(38,9)").alias("emails_sent"), F.col("data_source").alias("source"))
 
     @cached_property
     def comms_daily(self) -> DataFrame:  # G7
-        m365, zoom = "insight_m365", "insight_zoom"
+        m365, zoom = "m365", "zoom"
         part = lambda cls, source, person, **v: self._of(cls, source).select(
             F.lower(person).alias("person_id"), F.col("date").alias("metric_date"), *[c.alias(n) for n, c in v.items()])
         rows = union_all([

@@ -247,7 +247,10 @@ def select_rows(df: DataFrame, filters: Mapping[str, object] | None = None, sele
 
 
 def page_size(top: int | None) -> int:
-    return DEFAULT_TOP if top is None else max(1, min(MAX_TOP, top))
+    """Rows of a page: a request outside 1 to MAX_TOP is an error, never another number of rows."""
+    if top is not None and not 1 <= top <= MAX_TOP:
+        raise ValueError(f"top must be from 1 to {MAX_TOP}, not {top}")
+    return DEFAULT_TOP if top is None else top
 
 
 @dataclass(frozen=True)

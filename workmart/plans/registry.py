@@ -17,11 +17,13 @@ from workmart.sources.tables import landed
 
 @dataclass
 class Landed:
-    """Landed tables by `schema.table`, and the time a run is made at."""
+    """Landed tables by `schema.table`, the time a run is made at, and the column in which tables without a `source_id` of
+    their own name the connection they came through."""
 
     spark: SparkSession
     tables: Mapping[str, DataFrame]
     as_of: Column = field(default_factory=F.current_timestamp)
+    source_column: str = "source_id"
 
     def __call__(self, name: str) -> DataFrame:
         return landed(self.tables[name])

@@ -59,12 +59,12 @@ def claude_api(t: Landed) -> DataFrame:
     df = t("bronze_claude_admin.claude_admin_messages_usage")
     date = F.to_date("date")
     or_mark = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MARK))
-    key = unique_key("tenant_id", "insight_source_id", F.concat(F.lit("ws:"), or_mark("workspace_id")), date,
+    key = unique_key("tenant_id", t.source_column, F.concat(F.lit("ws:"), or_mark("workspace_id")), date,
                      F.lit("anthropic-api"), *[or_mark(c) for c in ("model", "api_key_id", "service_tier", "context_window")])
     cached = ("cache_creation_5m_tokens", "cache_creation_1h_tokens")
     return shape(
-        df, "tenant_id", "api_key_id", "workspace_id", source_id=F.col("insight_source_id"), unique_key=key, day=date,
-        **labels(provider="anthropic", channel="api", source="claude_admin", data_source="insight_claude_admin"),
+        df, "tenant_id", "api_key_id", "workspace_id", source_id=F.col(t.source_column), unique_key=key, day=date,
+        **labels(provider="anthropic", channel="api", source="claude_admin", data_source="claude_admin"),
         input_tokens=total0("uncached_input_tokens", "cache_read_tokens", *cached), output_tokens=count0("output_tokens"),
         cache_read_tokens=count0("cache_read_tokens"), cache_creation_tokens=total0(*cached),
         collected_at=moment("collected_at"), _version=version())
@@ -78,7 +78,7 @@ def claude_admin_dev_usage(t: Landed) -> DataFrame:
     sums = {n: F.sum(count0(c)) for n, c in (
         ("session_count", "session_count"), ("lines_added", "lines_added"), ("lines_removed", "lines_removed"),
         ("accepted", "tool_use_accepted"), ("rejected", "tool_use_rejected"))}
-    used = raw.groupBy("tenant_id", F.col("insight_source_id").alias("source_id"), "actor_type",
+    used = raw.groupBy("tenant_id", F.col(t.source_column).alias("source_id"), "actor_type",
                        normal_email("actor_identifier").alias("actor"), F.to_date("date").alias("day")).agg(
         *[c.alias(n) for n, c in sums.items()], F.max(moment("collected_at")).alias("collected_at"))
     # Only API actors look their key up by name; users get a NULL name.
@@ -91,7 +91,7 @@ def claude_admin_dev_usage(t: Landed) -> DataFrame:
         df, "tenant_id", "source_id", "api_key_id", "day", "session_count", "lines_added", "lines_removed", "collected_at",
         unique_key=unique_key("tenant_id", "source_id", "actor_type", "actor", "day"),
         email=F.when(F.col("actor_type") == "user", F.col("actor")), tool_use_offered=F.col("accepted") + F.col("rejected"),
-        tool_use_accepted=F.col("accepted"), **labels(tool="claude_code", source="claude_admin", data_source="insight_claude_admin"),
+        tool_use_accepted=F.col("accepted"), **labels(tool="claude_code", source="claude_admin", data_source="claude_admin"),
         _version=F.coalesce(F.unix_millis("collected_at"), F.lit(0).cast("bigint")))
 
 
@@ -144,7 +144,7 @@ def claude_assistant(t: Landed) -> DataFrame:
     df = split_surfaces(_enterprise(t).drop("unique_key")).withColumn("email", normal_email("user_email")).withColumn("day", F.to_date("date"))
     counters = sorted({n for used in SURFACES.values() for n in used})
     return _usage(
-        df, "claude", "claude_enterprise", F.lit("insight_claude_enterprise"), email=F.col("email"), day=F.col("day"), surface=F.col("surface"),
+        df, "claude", "claude_enterprise", F.lit("claude_enterprise"), email=F.col("email"), day=F.col("day"), surface=F.col("surface"),
         unique_key=unique_key("tenant_id", "source_id", "email", "day", "surface"),
         **{n: F.col(n) for n in counters}, surface_metrics_json=F.col("surface_metrics_json"), collected_at=moment("collected_at"))
 
@@ -153,7 +153,7 @@ def claude_assistant(t: Landed) -> DataFrame:
 def claude_enterprise_code(t: Landed) -> DataFrame:
     used = any_positive("code_session_count", "code_lines_added", "code_tool_accepted_count", "code_commit_count", "code_pull_request_count")
     return _usage(
-        _enterprise(t).filter(F.col("date").isNotNull() & used), "claude_code", "claude_enterprise", F.lit("insight_claude_enterprise"),
+        _enterprise(t).filter(F.col("date").isNotNull() & used), "claude_code", "claude_enterprise", F.lit("claude_enterprise"),
         unique_key=unique_key("tenant_id", "source_id", "user_id", "date"), email=normal_email("user_email"), day=day("date"),
         session_count=count0("code_session_count"), lines_added=count0("code_lines_added"), lines_removed=count0("code_lines_removed"),
         tool_use_offered=total0("code_tool_accepted_count", "code_tool_rejected_count"),
@@ -178,7 +178,7 @@ def cursor_usage(t: Landed) -> DataFrame:
     df = _mailed(t("bronze_cursor.cursor_daily_usage"), "email", "date").filter(truth("isActive"))
     date = F.to_date(from_millis("date"))
     return _usage(
-        df, "cursor", "cursor", F.lit("insight_cursor"), unique_key=unique_key("tenant_id", "source_id", "userId", date),
+        df, "cursor", "cursor", F.lit("cursor"), unique_key=unique_key("tenant_id", "source_id", "userId", date),
         email=normal_email("email"), day=date, session_count=F.lit(1), lines_added=count0("acceptedLinesAdded"),
         lines_removed=count0("acceptedLinesDeleted"), total_lines_added=count0("totalLinesAdded"),
         total_lines_removed=count0("totalLinesDeleted"), tool_use_offered=count("totalTabsShown"),
@@ -207,7 +207,7 @@ def copilot_usage(t: Landed) -> DataFrame:
     metrics = metrics.filter(filled(F.col("day")) & (used | modes["used_chat"] | modes["used_agent"] | modes["used_cli"]))
     df = metrics.join(seats, who)
     return _usage(
-        df, "copilot", "copilot", F.lit("insight_github_copilot"), unique_key=unique_key(*who, "day"), email=F.col("__mail"),
+        df, "copilot", "copilot", F.lit("github_copilot"), unique_key=unique_key(*who, "day"), email=F.col("__mail"),
         day=day("day"), session_count=F.lit(1), lines_added=count0("loc_added_sum"), lines_removed=count0("loc_deleted_sum"),
         tool_use_offered=count0("code_generation_activity_count"), tool_use_accepted=count0("code_acceptance_activity_count"),
         agent_sessions=F.when(modes["used_agent"], 1), chat_requests=F.when(modes["used_chat"], 1),
@@ -224,7 +224,7 @@ def copilot_org(t: Landed) -> DataFrame:
         df, "tenant_id", "source_id", "organization_id", "enterprise_id", unique_key=unique_key("tenant_id", "source_id", "day"),
         day=day("day"), **{n: count0(n) for n in plain}, monthly_active_chat_users=count("monthly_active_chat_users"),
         monthly_active_agent_users=count("monthly_active_agent_users"), pull_requests_json=F.col("pull_requests"),
-        **labels(source="copilot", data_source="insight_github_copilot"), collected_at=moment("collected_at"), _version=version())
+        **labels(source="copilot", data_source="github_copilot"), collected_at=moment("collected_at"), _version=version())
 
 
 def openai_cost(t: Landed) -> DataFrame:
@@ -233,7 +233,7 @@ def openai_cost(t: Landed) -> DataFrame:
     return shape(df, "tenant_id", "source_id", "line_item", "project_id", "amount_value", "amount_currency",
                  unique_id=unique_key("bucket_start_time", "line_item", "project_id", sep="|"),
                  report_date=F.to_date(F.timestamp_seconds(F.col("bucket_start_time").cast("bigint"))),
-                 **labels(provider="openai", data_source="insight_openai"))
+                 **labels(provider="openai", data_source="openai"))
 
 
 def openai_tool_usage(t: Landed) -> DataFrame:
@@ -243,4 +243,4 @@ def openai_tool_usage(t: Landed) -> DataFrame:
                  "input_cached_tokens", "input_audio_tokens", "output_audio_tokens", "num_model_requests", "service_tier",
                  unique_id=unique_key("bucket_start_time", "project_id", "model", "user_id", sep="|"),
                  report_date=F.to_date(F.timestamp_seconds(F.col("bucket_start_time").cast("bigint"))), is_batch=truth("batch"),
-                 person_id=F.lit(None).cast("string"), **labels(provider="openai", client="openai_api", data_source="insight_openai"))
+                 person_id=F.lit(None).cast("string"), **labels(provider="openai", client="openai_api", data_source="openai"))

@@ -27,7 +27,7 @@ def _m365(t: Landed, table: str, *key: Column | str, **columns: Column) -> DataF
     return shape(
         df, "tenant_id", "source_id", unique_key=hashed_key("tenant_id", "source_id", name, "reportRefreshDate", *key),
         user_id=name, user_name=name, email=name, person_key=F.lower(name), date=F.to_date("reportRefreshDate"),
-        **columns, report_period=F.col("reportPeriod"), **_stamp(t, "insight_m365"))
+        **columns, report_period=F.col("reportPeriod"), **_stamp(t, "m365"))
 
 
 @feeds("class_collab_chat_activity", "m365", "bronze_m365.teams_activity")
@@ -81,7 +81,7 @@ def slack_chats(t: Landed) -> DataFrame:
         user_name=mail, email=mail, person_key=F.when(mail != "", F.lower(mail)).otherwise(F.lower("user_id")), date=F.col("__day"),
         direct_and_group_messages=clamp(count0("messages_posted_count") - count0("channel_messages_posted_count"), low=0),
         total_chat_messages=count0("messages_posted_count"), channel_posts=count("channel_messages_posted_count"),
-        **_stamp(t, "insight_slack"))
+        **_stamp(t, "slack"))
 
 
 def slack_users_latest(t: Landed) -> DataFrame:
@@ -105,16 +105,14 @@ def zulip_chats(t: Landed) -> DataFrame:
         F.sum("messages").alias("total_chat_messages"), F.coalesce(F.min("full_name"), F.lit("")).alias("user_name"))
     return shape(df, *where, "email", "date", "user_name", "total_chat_messages",
                  unique_key=hashed_key(*where, "email", "date"), user_id=F.col("email"), person_key=F.col("email"),
-                 **_stamp(t, "insight_zulip_proxy"))
+                 **_stamp(t, "zulip_proxy"))
 
 
-def zoom_sessions(t: Landed, lookback_days: int = 90) -> DataFrame:
+def zoom_sessions(t: Landed) -> DataFrame:
     """Meeting instances of one meeting id that follow each other within five
     minutes are one logical meeting."""
-    recent = t("bronze_zoom.meetings").filter(
-        F.col("id").isNotNull() & filled(F.col("uuid"))
-        & (F.col("_extracted_at") >= t.as_of - F.expr(f"interval {int(lookback_days)} days")))
-    rows = latest_by(recent, ["uuid"], ["_extracted_at"], ["tenant_id", "source_id"]).select(
+    known = t("bronze_zoom.meetings").filter(F.col("id").isNotNull() & filled(F.col("uuid")))
+    rows = latest_by(known, ["uuid"], ["_extracted_at"], ["tenant_id", "source_id"]).select(
         "tenant_id", "source_id", F.col("id").cast("string").alias("id"), "uuid", "has_video", "has_screen_share",
         moment("start_time").alias("start_ts"), moment("end_time").alias("end_ts")).filter("start_ts is not null")
     rows = sessionize(rows, ["tenant_id", "source_id", "id"], "start_ts", MEETING_GAP_SECONDS, "end_ts", ["uuid"], "cluster")
@@ -142,4 +140,4 @@ def zoom_meetings(t: Landed) -> DataFrame:
     return shape(df, *where, "email", "date", "user_name", "meetings_attended", "audio_duration_seconds",
                  "video_duration_seconds", "screen_share_duration_seconds",
                  unique_key=hashed_key(*where, F.lower("email"), "date"), user_id=F.col("email"),
-                 person_key=F.lower("email"), **_stamp(t, "insight_zoom"))
+                 person_key=F.lower("email"), **_stamp(t, "zoom"))

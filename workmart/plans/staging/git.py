@@ -31,7 +31,7 @@ class Host:
             df, *KEYS, "_extracted_at",
             project_key=text(self.project) if project is None else project,
             repo_slug=text(self.repo) if repo is None else repo,
-            **columns, data_source=F.lit(f"insight_{self.name}"), _version=millis(tables.as_of))
+            **columns, data_source=F.lit(self.name), _version=millis(tables.as_of))
 
 
 GITHUB = Host("github", "repo_owner", "repo_name")

@@ -54,7 +54,7 @@ def _activity(edits: DataFrame, first_version: Column, mail: Column) -> DataFram
 def _activity_rows(df: DataFrame, mail: Column, source: str) -> DataFrame:
     return shape(df, *PLACE, "author_id", "day", "pages_edited", "total_edits", "pages_created", "collected_at",
                  unique_key=unique_key(*PLACE, "author_id", "day"), author_email=mail,
-                 **labels(source=source, data_source=f"insight_{source}"), _version=version())
+                 **labels(source=source, data_source=source), _version=version())
 
 
 def _versions(t: Landed, table: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _engagement(comments: DataFrame, source: str) -> DataFrame:
     df = by_author.groupBy(*PLACE, "page_id", "day").agg(
         *[F.sum(n).alias(n) for n in counters], F.count(F.lit(1)).alias("unique_commenters"), F.max("_extracted_at").alias("_extracted_at"))
     return shape(df, *PLACE, "page_id", "day", *counters, "unique_commenters", unique_key=unique_key(*PLACE, "page_id", "day"),
-                 **labels(source=source, data_source=f"insight_{source}"), collected_at=F.col("_extracted_at"), _version=version())
+                 **labels(source=source, data_source=source), collected_at=F.col("_extracted_at"), _version=version())
 
 
 CONFLUENCE_COMMENTS = {
@@ -145,7 +145,7 @@ def _pages(t: Landed, schema: str, people: DataFrame | None, source: str, embedd
     df = _with_mail(df, people, "last_editor_id", "known_editor_mail")
     return df.withColumn("author_email", F.coalesce("own_mail", "known_mail")).withColumn(
         "last_editor_email", F.coalesce("own_editor_mail", "known_editor_mail")).select(
-        "*", F.lit(source).alias("source"), F.lit(f"insight_{source}").alias("data_source"), version().alias("_version"))
+        "*", F.lit(source).alias("source"), F.lit(source).alias("data_source"), version().alias("_version"))
 
 
 @feeds("class_wiki_pages", "confluence", "bronze_confluence.wiki_pages", "bronze_confluence.wiki_spaces")
