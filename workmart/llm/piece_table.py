@@ -31,7 +31,7 @@ from workmart.llm.common import Recent, slices
 
 SPACE = "▁"
 #: Words that a worker remembers at least (at most twice as many), and the longest word that it remembers.
-KEPT_WORDS, LONGEST_KEPT = 100_000, 48
+KEPT_WORDS, LONGEST_KEPT = 60_000, 48
 
 
 class Strings:
