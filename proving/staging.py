@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from proving.case import case
 from proving.given import Given
+from workmart.plans.gold import Gold
 from workmart.plans.registry import Landed, build_class
 from workmart.plans.staging import ai, collab, people as directories
 
@@ -287,6 +288,30 @@ case("M_directory_history", "entity_id:s field_name:s new_value:s",
      "select c_custkey entity_id, unnest(['displayName','workEmail','department','status','employmentHistoryStatus']) field_name, unnest([c_name, c_name, c_mktsegment, case when c_acctbal < 0 then 'Inactive' else 'Active' end, case when c_nationkey = 3 then 'Terminated' else 'Full-Time' end]) new_value from customer")(
     lambda g: (lambda d, t: d.changes(d.snapshot(t)))(directories.DIRECTORIES["bamboohr"], _land(g, bronze_bamboohr__employees=_employees(g))))
 
+
+
+def _workers(g: Given) -> Landed:
+    workers = g.customer.selectExpr(
+        *_KEYS, "cast(c_custkey as string) as unique_key", _AT, "cast(c_custkey as string) as Employee_ID", "c_name as Display_Name", "c_name as Work_Email",
+        "'Engineer' as Business_Title", "c_mktsegment as Supervisory_Organization", "cast(c_nationkey + 1 as string) as Manager_Employee_ID",
+        "element_at(array('Active','On Leave','Terminated'), c_nationkey % 3 + 1) as Worker_Status", "if(c_acctbal < 0, 'Contingent Worker', 'Employee') as Worker_Type",
+        f"'{_DATE}' as Last_Functionally_Updated", "cast(c_nationkey * 2 as string) as Scheduled_Weekly_Hours",
+        *_nulls("First_Name", "Last_Name", "Job_Profile", "Manager_Work_Email", "Hire_Date", "Original_Hire_Date", "Termination_Date", "Location", "City", "Country"))
+    return _land(g, bronze_workday__workers=workers)
+
+
+case("M_workday_people", "unique_key:s email:s department_name:s status:s employment_type:s manager_person_id:s",
+     f"""select c_custkey || '-{_DATE}' unique_key, c_name email, c_mktsegment department_name, case c_nationkey % 3 when 0 then 'active' when 1 then 'on_leave' else 'terminated' end status,
+         case when c_acctbal < 0 then 'contractor' else 'full_time' end employment_type, c_nationkey + 1 manager_person_id from customer""")(
+    lambda g: build_class("class_people", _workers(g)))
+case("M_workday_hours", "email:s working_hours_per_day:f working_hours_per_week:f",
+     "select c_name email, c_nationkey * 2 / 5.0 working_hours_per_day, c_nationkey * 2 working_hours_per_week from customer where c_nationkey % 3 = 0")(
+    lambda g: build_class("class_hr_working_hours", _workers(g)))
+case("G1_people_workday", "person_id:s org_unit_id:s job_title:s status:s supervisor_email:s",
+     """select lower(c.c_name) person_id, c.c_mktsegment org_unit_id, 'Engineer' job_title, case when c.c_nationkey % 3 = 2 then 'Inactive' else 'Active' end status, lower(m.c_name) supervisor_email
+        from customer c left join customer m on m.c_custkey = c.c_nationkey + 1""")(
+    lambda g: Gold(g.spark, {"class_people": build_class("class_people", _workers(g))}, g.as_of, materialize=False).people)
+
 # --- issue tracker and wikis ------------------------------------------------------------------------------------
 
 

@@ -57,6 +57,10 @@ IC_TIMEOFF = T.StructType([
     T.StructField("metric_date", T.StringType()), T.StructField("days", T.LongType()),
     T.StructField("date_range", T.StringType()), T.StructField("bamboo_hr_url", T.StringType())])
 
+# What G8 reads of Jira's issues.
+JIRA_ISSUE = T.StructType([T.StructField(n, T.StringType()) for n in (
+    "unique_key", "id_readable", "custom_fields_json", "updated", "due_date")] + [T.StructField("_extracted_at", T.TimestampType())])
+
 
 def people_view(employees: DataFrame) -> DataFrame:
     """Newest HR row per work e-mail (G1)."""
@@ -67,6 +71,20 @@ def people_view(employees: DataFrame) -> DataFrame:
         "supervisor_email": F.lower("supervisorEmail")})
 
 
+def people_of_class(people: DataFrame) -> DataFrame:
+    """The same view from `class_people`, for a site without BambooHR (G1). A leader is named there by the directory's id, so
+    the address is looked up in the same directory. People on leave count as active, as BambooHR has them."""
+    known = people.filter(filled(F.col("email")))
+    place = ["tenant_id", "source_id", "source"]
+    leaders = latest_values(known.filter(filled(F.col("source_person_id"))), [*place, "source_person_id"], ["ingested_at", "unique_key"], {
+        "leader_email": F.lower("email")}).withColumnRenamed("source_person_id", "manager_person_id")
+    rows = known.withColumn("person_id", F.lower("email")).join(leaders, [*place, "manager_person_id"], "left")
+    return latest_values(rows, ["person_id"], ["ingested_at", "unique_key"], {
+        "display_name": "display_name", "org_unit_id": "department_name", "org_unit_name": "department_name",
+        "seniority": seniority("job_title"), "job_title": "job_title",
+        "status": F.when(F.col("status") == "terminated", "Inactive").otherwise("Active"), "supervisor_email": "leader_email"})
+
+
 def _num(name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
@@ -81,7 +99,8 @@ class Gold:
 
     `tables` maps class names (and `bronze_bamboohr.employees`,
     `bronze_jira.jira_issue`) to DataFrames; a class that is missing counts as
-    empty. Views are lazy, except those that many others read (people, issue
+    empty, and so do Jira's issues. Without BambooHR people come from
+    `class_people`. Views are lazy, except those that many others read (people, issue
     state, status intervals, the stacked sections): they are stored when first
     read.
     """
@@ -106,7 +125,9 @@ class Gold:
     def people(self) -> DataFrame:  # G1
         if "people" in self.tables:
             return self.tables["people"]
-        return self.materialized(people_view(self.tables["bronze_bamboohr.employees"]))
+        if "bronze_bamboohr.employees" in self.tables:
+            return self.materialized(people_view(self.tables["bronze_bamboohr.employees"]))
+        return self.materialized(people_of_class(self.cls("class_people")))
 
     # --- marts ------------------------------------------------------------------------
     @cached_property
@@ -197,7 +218,8 @@ class Gold:
 
     @cached_property
     def jira_person_daily(self) -> DataFrame:  # G8
-        rows = self.tables["bronze_jira.jira_issue"].filter("unique_key is not null")
+        landed = self.tables.get("bronze_jira.jira_issue")
+        rows = (empty_table(self.spark, JIRA_ISSUE) if landed is None else landed).filter("unique_key is not null")
         now = latest_values(rows, ["unique_key"], ["_extracted_at"], {
             "doc": "custom_fields_json", "updated": "updated", "due_date": "due_date", "id_readable": "id_readable"})
         person = F.lower(json_text("doc", "assignee", "emailAddress"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 import workmart.plans.staging  # noqa: F401  (registers the models)
 from workmart.operators import quality
+from workmart.operators.issues import explode_changelog
 from workmart.plans.gold import Gold
 from workmart.plans.registry import MODELS, Landed, build_class
+from workmart.plans.staging.wiki import CONFLUENCE_COMMENTS
 from workmart.sources.sinks import write_table
 
 # Views read by many others: stored once per run.
@@ -34,14 +36,18 @@ def run(tables: Landed, target: str) -> Gold:
     for name in STORED:
         write_table(getattr(gold, name), f"{target}/gold/{name}")
         gold.__dict__[name] = tables.spark.read.parquet(f"{target}/gold/{name}")
+    # Histogram, cohorts and trend all read the stacked sections. Without rows there is no file to take the columns from.
+    sections = gold._sections
+    write_table(sections, f"{target}/gold/sections", ["section_id"])
+    gold.__dict__["_sections"] = tables.spark.read.schema(sections.schema).parquet(f"{target}/gold/sections")
     return gold
 
 
-def checks(gold: Gold) -> list[quality.Check]:
-    """The checks of a run."""
+def checks(gold: Gold, tables: Landed | None = None) -> list[quality.Check]:
+    """The checks of a run: C1-C16 without C6 and C10; these, C17 and C18 compare with landed tables and run where they are given."""
     meetings, history = gold.cls("class_collab_meeting_activity"), gold.cls("class_task_field_history")
     named = lambda name, domain, category, tier, rows: quality.Check(name, domain, category, tier, rows)
-    return [
+    found = [
         named("one_source_per_data_source", "collaboration", "consistency", "silver", quality.one_source_per_data_source(meetings)),
         named("unique_person_day", "collaboration", "uniqueness", "silver", quality.unique_person_day(meetings)),
         named("duration_caps", "collaboration", "validity", "silver", quality.duration_caps(meetings)),
@@ -57,3 +63,17 @@ def checks(gold: Gold) -> list[quality.Check]:
         named("paired_arrays", "task", "consistency", "silver", quality.paired_arrays(history)),
         named("one_id_type_per_field", "task", "consistency", "silver", quality.one_id_type_per_field(history)),
     ]
+    changes, snapshots = "bronze_jira.jira_issue_history", "bronze_jira.jira_issue"
+    if tables and tables.has(changes, snapshots):
+        found += [
+            named("untraced_changes", "task", "consistency", "silver", quality.untraced_changes(history, explode_changelog(tables(changes)))),
+            named("untraced_initials", "task", "consistency", "silver", quality.untraced_initials(history, tables(snapshots))),
+        ]
+    comments = [f"bronze_confluence.{name}" for name in CONFLUENCE_COMMENTS]
+    if tables and tables.has(*comments):
+        footer, footer_replies, inline, inline_replies = map(tables.newest, comments)
+        found += [
+            named("replies_without_page", "wiki", "validity", "bronze", quality.replies_without_page(footer_replies, inline_replies)),
+            named("replies_without_parent", "wiki", "consistency", "bronze", quality.replies_without_parent(footer_replies, inline_replies, footer, inline)),
+        ]
+    return found
