@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from workmart.session import store
 
-__all__ = ["Recent", "cells_for", "labelled_sample", "read", "sample_rows", "slices", "share_out", "store", "unit_interval", "with_rank"]
+__all__ = ["Recent", "arrow_map", "cells_for", "labelled_sample", "read", "sample_rows", "slices", "share_out", "store", "unit_interval", "with_rank"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,21 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, keep: Column
     return picked[0].unionAll(picked[1]), sizes
 
 
+#: Rows and bytes of an Arrow batch of texts at most. Spark's own 10,000 rows of long texts are held several times on their way to Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """`df.mapInArrow`, after which the session sends batches of at most BATCH; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = conf.get(key)
+        least = int(now.lower().removesuffix("b")) if now.lower().removesuffix("b").lstrip("-").isdigit() else most + 1
+        if not 0 < least <= most:
+            conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches cut short, so that what is made of one stays small; at a task's end the worker gives free memory back."""
     for batch in batches:

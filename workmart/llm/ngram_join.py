@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent, slices, store
+from workmart.llm.common import Recent, arrow_map, slices, store
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 256
 #: N-grams of a block: two blocks are in memory at once.
@@ -129,7 +129,7 @@ def signatures(docs: DataFrame, id: str, text: str, words: int, bands: int, rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "bands"])
 
     slim = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), _digest(text).alias("digest"), F.col(f"`{text}`").alias("text"))
-    return store(slim.mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+    return store(arrow_map(slim, run, "doc_id long, digest binary, n long, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
             sets = [np.unique(shingler.shingles(t.as_py())).tobytes() for t in batch.column(5)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(sets, pa.binary())], names=["part", "block", "blocks", "node", "copies", "grams"])
 
-    grams = full.select("part", "block", "blocks", "node", "copies", "text").mapInArrow(cut, "part long, block int, blocks int, node long, copies long, grams binary")
+    grams = arrow_map(full.select("part", "block", "blocks", "node", "copies", "text"), cut, "part long, block int, blocks int, node long, copies long, grams binary")
     units = grams.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams")
     units = units.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
@@ -253,7 +253,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = W
     def _rows(out):
         return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["node", "links", "tied"])
 
-    found = store(units.mapInArrow(verify, "node long, links long, tied long"))
+    found = store(arrow_map(units, verify, "node long, links long, tied long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.filter("node <> tied").select(F.col("node").alias("a"), F.col("tied").alias("b")))
     placed = nodes.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent, slices
+from workmart.llm.common import Recent, arrow_map, slices
 
 SPACE = "▁"
 #: Words that a worker remembers at least (at most twice as many), and the longest word that it remembers.
@@ -220,4 +220,4 @@ def encode(df: DataFrame, model_path: str, keep: list[str], text: str = "text",
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"`{n}` {OUTPUTS[n][0]}" for n in outputs])
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return arrow_map(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")), run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from workmart.llm.common import Recent, labelled_sample, slices
+from workmart.llm.common import Recent, arrow_map, labelled_sample, slices
 
 SAMPLE, BITS, FACTORS, EPOCHS, KEPT_WORDS = 4000, 14, 8, 12, 60_000
 #: Borders of the bins: shares, and sizes.
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[1].astype(np.float32).tobytes() for m in made], pa.binary())],
                                              names=["doc_id", "label", "features", "vals"])
 
-    found = sample.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "label").mapInArrow(features, "doc_id long, label int, features binary, vals binary").toPandas().sort_values("doc_id")
+    found = arrow_map(sample.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "label"), features, "doc_id long, label int, features binary, vals binary").toPandas().sort_values("doc_id")
     marks = found["label"].to_numpy().astype(float)
     if len(set(marks)) < 2:
         return flat
@@ -153,4 +153,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "score")]
     names = [*kept, "score"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept] + ["score double"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text"), F.col("n_chars").cast("long").alias("_stated")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text"), F.col("n_chars").cast("long").alias("_stated")), run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import Recent, labelled_sample, slices
+from workmart.llm.common import Recent, arrow_map, labelled_sample, slices
 
 SAMPLE, BITS, GRADES, KEPT_WORDS = 3000, 20, 4, 60_000
 PARTS = (4, 5, 6, 7)
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             cut = lambda a, kind: pa.array([a[ends[i] : ends[i + 1]].astype(kind).tobytes() for i in range(batch.num_rows)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cut(buckets, np.int32), cut(counts, np.float32)], names=["doc_id", "label", "buckets", "counts"])
 
-    found = sample.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id")
+    found = arrow_map(sample.select("doc_id", "text", "label"), features, "doc_id long, label int, buckets binary, counts binary").toPandas().sort_values("doc_id")
     if found["label"].nunique() < 2:
         return Model(np.empty(0, dtype=np.int64), np.empty(0), np.arange(2.0, 2.0 + GRADES - 1))
     buckets = [np.frombuffer(b, dtype=np.int32) for b in found["buckets"]]
@@ -175,4 +175,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in own]
     names = [*kept, *own]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept] + ["severity double", "p_toxic double", "grade int", "rejected boolean"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text")), run, schema)
