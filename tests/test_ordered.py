@@ -77,3 +77,17 @@ def test_exact_quantiles(spark):
     plain = df.filter("v is not null").groupBy("k").agg(*[F.expr(f"percentile_disc({p}) within group (order by v)").alias(n) for n, p in wanted.items()])
     for r in plain.collect():
         assert r.asDict() == got[r.k].asDict()
+
+
+def test_exact_quantiles_of_odd_and_close_values(spark):
+    """Infinite values and NaN have their places; values that differ by far less than a band's width are told apart."""
+    rnd = random.Random(6)
+    odd = [("odd", v) for v in [float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 1.7e308, -1.7e308, 2.0, float("nan")]]
+    close = [("close", 1.7e9 + rnd.randrange(0, 3000) / 64) for _ in range(2000)]
+    df = spark.createDataFrame(odd + close, "k string, v double")
+    wanted = {f"p{i}": i / 10 for i in range(1, 11)}
+    got = {r.k: [str(r[n]) for n in wanted] for r in exact_quantiles(df, ["k"], "v", wanted).collect()}
+    for key, rows in (("odd", odd), ("close", close)):
+        ordered = sorted((v for _, v in rows), key=lambda v: (v != v, v))
+        at = [str(ordered[max(1, -(-i * len(ordered) // 10)) - 1] + 0.0) for i in range(1, 11)]
+        assert got[key] == at

@@ -15,6 +15,7 @@ from workmart.operators.rollup import (
     supported_ratio, team_bullet, total, total_if_any,
 )
 from workmart.plans.gold import Gold, peer_cohorts
+from workmart.session import store
 
 Period = tuple[str, str] | None
 
@@ -280,12 +281,12 @@ def fetch_page(gold: Gold, name: str, top: int | None = None, **request) -> Page
 
 
 def batch_query(gold: Gold, requests: Mapping[str, dict]) -> dict[str, DataFrame | Exception]:
-    """Several queries over the same views; one that fails leaves the others
-    alone (Q3)."""
+    """Several queries over the same views, each stored; one that fails leaves
+    the others alone, also where it fails only when it runs (Q3)."""
     out: dict[str, DataFrame | Exception] = {}
     for key, request in requests.items():
         try:
-            out[key] = metric_query(gold, **request)
+            out[key] = store(metric_query(gold, **request))
         except Exception as error:  # reported per item
             out[key] = error
     return out

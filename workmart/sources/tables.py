@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from workmart.functions.keys import unique_key
@@ -14,11 +14,13 @@ EXTRACTED_COLUMNS = ("_airbyte_extracted_at",)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder, by name."""
-    for path in (os.path.join(folder, f"{name}.parquet"), os.path.join(folder, name)):
-        if "://" in folder or os.path.exists(path):
-            return spark.read.parquet(path)
-    raise FileNotFoundError(f"{name} in {folder}")
+    """A Parquet table of a folder, by name: `name.parquet`, or else `name` (S1). Spark looks for it, so any file system it reads will do."""
+    try:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.parquet(f"{folder}/{name}")
 
 
 def landed(df: DataFrame) -> DataFrame:
