@@ -79,5 +79,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column | str,
 
     earlier = Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     found = _holding(near.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(earlier), F.lit(0))))
-    found = found.select(*keys, "__v", F.explode("__wanted.name").alias("__name"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in quantiles])
+    found = found.select(*keys, "__v", F.explode("__wanted.name").alias("__quantile"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__quantile") == n, F.col("__v"))).alias(n) for n in quantiles])
