@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from workmart.llm import ads_search, bfd_shards, ngram_join, norm_topk, pareto_mix, pii_boost, piece_table, quality_fm, toxicity_ordinal, warc_dict
+from pathlib import Path
+
+from workmart.llm import ads_search, bfd_shards, byte_gru, ngram_join, norm_topk, pareto_mix, phrase_tiles, pii_boost, piece_table, quality_fm, spelling_variants, toxicity_ordinal, warc_dict
 from workmart.llm.common import read
 
 
@@ -68,5 +70,26 @@ def op10_piece_table(spark: SparkSession, folder: str) -> DataFrame:
     return piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_fm, op2_pii_boost, op3_ads_search, op4_bfd_shards, op5_ngram_join, op6_norm_topk, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table)}
-ORACLE: dict[str, str] = {}
+def held_out_lang(id: str = "doc_id") -> Column:
+    """Rows that the language model may not learn from."""
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1
+
+
+def op11_byte_gru(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = byte_gru.fit(docs.filter(~held_out_lang()))
+    return byte_gru.predict(docs, model).select("doc_id", F.coalesce(held_out_lang(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_phrase_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_tiles.collocations(read(spark, folder, "documents"), least=10, top=2000)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, folder, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_fm, op2_pii_boost, op3_ads_search, op4_bfd_shards, op5_ngram_join, op6_norm_topk, op7_toxicity_ordinal, op8_warc_dictionary, op9_pareto_mix, op10_piece_table,
+                                    op11_byte_gru, op12_phrase_tiles, op13_spelling_variants)}
+#: DuckDB SQL over the same tables, where SQL can state the result.
+ORACLE: dict[str, str] = {"op12_phrase_tiles": (Path(__file__).parent / "op12_phrase_tiles.sql").read_text()}
