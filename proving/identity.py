@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from proving.case import case
 from proving.given import Given
-from workmart.operators import identity, tree
+from workmart.operators import identity, matching, tree
 from workmart.operators.reshape import union_all
 
 _UUID = "regexp_replace(md5({}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
@@ -186,3 +186,56 @@ case("O11_parents_and_children", "kind:s child_person_id:s parent_person_id:s",
         union all select 'child', c_custkey, (c_custkey - 1) // 4 from customer where c_acctbal >= 0 and c_custkey > 0""")(
     lambda g: tree.current_parents(People(g).chart).withColumn("kind", F.lit("parent")).unionByName(
         tree.current_children(People(g).chart).withColumn("kind", F.lit("child"))))
+
+_MATCH_INPUTS = """
+sides as (select 'a' side, 't1' tenant_id, case s_suppkey % 3 when 0 then 'hr' when 1 then 'git' else 'chat' end source_type, 'A' || s_suppkey who,
+           case s_suppkey % 10 when 0 then 'user' || s_suppkey || '@acme.com' when 1 then 'User' || s_suppkey || '@ACME.com' when 2 then ' user' || s_suppkey || '+x@acme.com '
+                when 3 then 'user' || s_suppkey || '@acme.io' when 4 then 'u' || s_suppkey || '@other.org' end email,
+           case s_suppkey % 10 when 5 then 'u' || s_suppkey when 6 then 'U' || s_suppkey end username, case s_suppkey % 10 when 7 then 'E' || s_suppkey end employee_id,
+           case s_suppkey % 10 when 8 then 'Costumer ' || lpad(s_suppkey::varchar, 9, '0') when 9 then 'Customer ' || lpad((s_suppkey // 10 * 10 + (s_suppkey + 3) % 10)::varchar, 9, '0')
+                when 0 then 'Customer ' || lpad(s_suppkey::varchar, 9, '0') end display_name from supplier
+         union all select 'k', 't1', 'hr', 'P' || c_custkey, 'user' || c_custkey || '@acme.com', 'u' || c_custkey, 'E' || c_custkey, 'Customer ' || lpad(c_custkey::varchar, 9, '0') from customer)"""
+_MATCH = f"""with {_MATCH_INPUTS},
+f as (select *, nullif(trim(email), '') _email, lower(nullif(trim(email), '')) _mail, nullif(trim(username), '') _user, lower(nullif(trim(username), '')) _user_lower,
+        nullif(trim(employee_id), '') _employee, nullif(trim(regexp_replace(regexp_replace(lower(coalesce(display_name, '')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), '') _name from sides),
+g as (select *, regexp_replace(nullif(regexp_extract(_mail, '^([^@]*)@', 1), ''), '\\+.*$', '') _local, nullif(regexp_extract(_mail, '@([^@]*)$', 1), '') _domain from f),
+h as (select *, _local || '@' || _domain _untagged, _local || '@' || case when _domain = 'acme.io' then 'acme.com' else _domain end _canonical,
+        substr(_name, 1, 1) || translate(substr(_name, 2), 'bfpvcgjkqsxzdtlmnraeiouyhw', '111122222222334556') _phon from g),
+a as (select * from h where side = 'a'), k as (select * from h where side = 'k'),
+pairs as (
+  select a.tenant_id, a.who account, a.source_type, k.who person, 'email_exact' r from a join k on a.tenant_id = k.tenant_id and a._email = k._email
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'hr_id_match' from a join k on a.tenant_id = k.tenant_id and a._employee = k._employee and a.source_type is not distinct from k.source_type
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'username_same_sys' from a join k on a.tenant_id = k.tenant_id and a._user = k._user and a.source_type is not distinct from k.source_type
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'email_case_norm' from a join k on a.tenant_id = k.tenant_id and a._mail = k._mail
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'email_plus_tag' from a join k on a.tenant_id = k.tenant_id and a._untagged = k._untagged
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'email_domain_alias' from a join k on a.tenant_id = k.tenant_id and a._canonical = k._canonical
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'username_cross_sys' from a join k on a.tenant_id = k.tenant_id and a._user_lower = k._user_lower and a.source_type is distinct from k.source_type
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'email_to_username' from a join k on a.tenant_id = k.tenant_id and (a._local = k._user_lower or a._user_lower = k._local) and a.source_type is distinct from k.source_type
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'name_edit' from a join k on a.tenant_id = k.tenant_id and levenshtein(a._name, k._name) <= 1
+  union all select a.tenant_id, a.who, a.source_type, k.who, 'name_phonetic' from a join k on a.tenant_id = k.tenant_id and a._phon = k._phon),
+rules(r, c, o, fuzzy) as (values ('email_exact', 1.0, 0, false), ('hr_id_match', 1.0, 1, false), ('username_same_sys', 0.95, 2, false), ('email_case_norm', 0.95, 3, false),
+  ('email_plus_tag', 0.93, 4, false), ('email_domain_alias', 0.92, 5, false), ('username_cross_sys', 0.85, 6, false), ('name_edit', 0.75, 7, true),
+  ('email_to_username', 0.72, 8, false), ('name_phonetic', 0.60, 9, true)),
+best as (select tenant_id, account, source_type, person, arg_max(r, c * 1000 - o) rule, max(c) conf from pairs join rules using (r) group by all),
+told as (select best.*, rules.fuzzy, count(*) filter (where conf >= 1.0) over (partition by tenant_id, account, source_type) sure from best join rules on rules.r = best.rule)
+select tenant_id, source_type, account account_id, person person_id, rule condition_type, conf confidence,
+       case when conf >= 1.0 and not fuzzy and sure = 1 then 'auto_link' when conf >= 0.5 then 'suggest' else 'pending' end action from told
+union all select tenant_id, source_type, who, null, null, 0.0, 'pending' from a where not exists (select 1 from best where best.account = a.who and best.source_type = a.source_type)"""
+
+
+def _match_sides(g: Given) -> tuple[DataFrame, DataFrame]:
+    s, k = "s_suppkey", "s_suppkey % 10"
+    accounts = g.table("supplier").selectExpr(
+        "'t1' as tenant_id", f"case {s} % 3 when 0 then 'hr' when 1 then 'git' else 'chat' end as source_type", f"concat('A', {s}) as account_id",
+        f"case {k} when 0 then concat('user', {s}, '@acme.com') when 1 then concat('User', {s}, '@ACME.com') when 2 then concat(' user', {s}, '+x@acme.com ') "
+        f"when 3 then concat('user', {s}, '@acme.io') when 4 then concat('u', {s}, '@other.org') end as email",
+        f"case {k} when 5 then concat('u', {s}) when 6 then concat('U', {s}) end as username", f"case {k} when 7 then concat('E', {s}) end as employee_id",
+        f"case {k} when 8 then concat('Costumer ', lpad(cast({s} as string), 9, '0')) when 9 then concat('Customer ', lpad(cast({s} div 10 * 10 + ({s} + 3) % 10 as string), 9, '0')) "
+        f"when 0 then concat('Customer ', lpad(cast({s} as string), 9, '0')) end as display_name")
+    known = g.customer.selectExpr("'t1' as tenant_id", "concat('P', c_custkey) as person_id", "'hr' as source_type", "concat('user', c_custkey, '@acme.com') as email",
+                                  "concat('u', c_custkey) as username", "concat('E', c_custkey) as employee_id", "concat('Customer ', lpad(cast(c_custkey as string), 9, '0')) as display_name")
+    return accounts, known
+
+
+case("O12_match_candidates", "tenant_id:s source_type:s account_id:s person_id:s condition_type:s confidence:f action:s", _MATCH)(
+    lambda g: matching.match_candidates(*_match_sides(g), domain_aliases={"acme.io": "acme.com"}))

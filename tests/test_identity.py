@@ -96,3 +96,31 @@ def test_lock_stops_narrower_scopes(table):
     got = {(r.tenant_id, r.metric_key): (r.good, r.scope, r.bounded_by_lock) for r in thresholds.resolve_thresholds(catalog, rows, contexts).collect()}
     assert got == {("t", "m"): (2.0, "tenant", True), ("t", "n"): (5.0, "team+role", False), ("t2", "m"): (1.0, "product-default", False),
                    ("t2", "n"): (4.0, "product-default", False)}
+
+
+def test_match_candidates_rules_actions_and_odd_rows(table):
+    from workmart.operators import matching
+
+    accounts = table("tenant_id, source_type, account_id, email, username, employee_id, display_name, extra",
+                     {"tenant_id": "t", "source_type": "hr", "account_id": "a1", "email": "Ann.Lee+x@ACME.io "},
+                     {"tenant_id": "t", "source_type": "git", "account_id": "a2", "username": "ann.lee"},
+                     {"tenant_id": "t", "source_type": "hr", "account_id": "a3", "email": "bo@acme.com", "display_name": "Bo  Smith!"},
+                     {"tenant_id": "t", "source_type": "hr", "account_id": "a4", "email": " ", "username": "", "display_name": "Zed Quux"},
+                     {"tenant_id": "t", "source_type": "hr", "account_id": "a5", "display_name": "Bo Smyth"},
+                     {"tenant_id": "t", "source_type": "hr", "account_id": "a6", "employee_id": "E1"})
+    known = table("tenant_id, person_id, source_type, email, username, employee_id, display_name",
+                  {"tenant_id": "t", "person_id": "p1", "source_type": "hr", "email": "ann.lee@acme.com", "employee_id": "E1"},
+                  {"tenant_id": "t", "person_id": "p1", "source_type": "hr", "email": "ann.lee@acme.com", "employee_id": "E1"},
+                  {"tenant_id": "t", "person_id": "p2", "source_type": "hr", "email": "bo@acme.com", "display_name": "Bo Smith"},
+                  {"tenant_id": "t", "person_id": "p3", "source_type": "hr", "display_name": "bo smith"},
+                  {"tenant_id": "t", "person_id": "p4", "source_type": "hr", "employee_id": "E1"})
+    got = {(r.account_id, r.person_id): (r.condition_type, r.confidence, r.action) for r in matching.match_candidates(accounts, known, {"acme.io": "acme.com"}).collect()}
+    assert got[("a1", "p1")] == ("email_domain_alias", 0.92, "suggest")
+    assert got[("a2", "p1")] == ("email_to_username", 0.72, "suggest")
+    assert got[("a3", "p2")] == ("email_exact", 1.0, "auto_link")
+    assert got[("a3", "p3")] == ("name_edit", 0.75, "suggest")  # equal normal names never link by themselves
+    assert got[("a4", None)] == (None, 0.0, "pending")
+    assert got[("a5", "p2")] == ("name_edit", 0.75, "suggest")
+    assert got[("a6", "p1")] == ("hr_id_match", 1.0, "suggest") and got[("a6", "p4")][2] == "suggest"  # two persons reach 1.0: no link
+    assert len(got) == 9  # a5 is near both p2 and p3
+    assert matching.match_candidates(accounts.limit(0), known).count() == 0
