@@ -63,6 +63,35 @@ def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+def _states(p: dict, d: str, X: np.ndarray, mask: np.ndarray | None, reverse: bool):
+    """States (T, B, H) of one direction, as _direction gives them, with fewer temporaries: both gates in one sigmoid,
+    in place; no mask where all positions count (mask None)."""
+    B, T = X.shape
+    H = p[f"U{d}"].shape[0]
+    W, U, bn = p[f"W{d}"], p[f"U{d}"], p[f"n{d}"]
+    h = np.zeros((B, H), W.dtype)
+    states = np.empty((T, B, H), W.dtype)
+    for t in (range(T - 1, -1, -1) if reverse else range(T)):
+        xs, hu = W[X[:, t]], h @ U
+        gates = xs[:, :2 * H] + hu[:, :2 * H]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates += 1.0
+        gates *= 0.5
+        n = hu[:, 2 * H:] + bn
+        n *= gates[:, H:]
+        n += xs[:, 2 * H:]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= gates[:, :H]
+        new += n
+        if mask is not None:
+            new = np.where(mask[:, t:t + 1] > 0, new, h)
+        h = new
+        states[t] = h
+    return states
+
+
 def _direction(p: dict, d: str, X: np.ndarray, mask: np.ndarray, reverse: bool, keep: bool):
     """States (T, B, H) of one direction over bytes X (B, T); masked positions keep the state. With `keep`, what the
     backward pass needs, in processing order."""
@@ -107,11 +136,14 @@ def _direction_grad(p: dict, d: str, X: np.ndarray, mask: np.ndarray, cache, dst
         carry = dh + dhu @ U.T
 
 
-def logits(p: dict, X: np.ndarray, mask: np.ndarray, keep: bool = False):
-    """Per-position scores (T, B, L) of bytes X (B, T)."""
+def logits(p: dict, X: np.ndarray, mask: np.ndarray, keep: bool = False, full: bool = False):
+    """Per-position scores (T, B, L) of bytes X (B, T). `full`: every position counts, no mask is applied."""
     H = p["Uf"].shape[0]
-    fs, fc = _direction(p, "f", X, mask, False, keep)
-    bs, bc = _direction(p, "b", X, mask, True, keep)
+    if keep:
+        fs, fc = _direction(p, "f", X, mask, False, keep)
+        bs, bc = _direction(p, "b", X, mask, True, keep)
+    else:
+        fs, bs, fc, bc = _states(p, "f", X, None if full else mask, False), _states(p, "b", X, None if full else mask, True), [], []
     out = fs @ p["V"][:H] + bs @ p["V"][H:] + p["c"]
     return out, (fs, fc, bs, bc)
 
@@ -186,17 +218,19 @@ def pooled(p: dict, texts: list[bytes | None], width: int = WINDOW, chunks: int
     """Mean distribution over all positions of each text (rows of zeros for empty ones)."""
     L = p["c"].shape[0]
     sums, counts = np.zeros((len(texts), L), np.float64), np.zeros(len(texts), np.float64)
-    owner, parts = [], []
-    for i, b in enumerate(texts):
-        for at in range(0, len(b or b""), width):
-            owner.append(i)
-            parts.append(b[at:at + width])
-    owner = np.asarray(owner, np.int64)
-    for at in range(0, len(parts), chunks):
-        X, mask = _pack(parts[at:at + chunks], width)
-        prob = _softmax(logits(p, X, mask)[0]) * mask.T[:, :, None]
-        np.add.at(sums, owner[at:at + chunks], prob.sum(0))
-        np.add.at(counts, owner[at:at + chunks], mask.sum(1))
+    for short in (False, True):  # whole chunks run without a mask; only a text's last chunk can be short
+        owner, parts = [], []
+        for i, b in enumerate(texts):
+            for at in range(0, len(b or b""), width):
+                if (len(b) - at < width) == short:
+                    owner.append(i)
+                    parts.append(b[at:at + width])
+        owner = np.asarray(owner, np.int64)
+        for at in range(0, len(parts), chunks):
+            X, mask = _pack(parts[at:at + chunks], width)
+            prob = _softmax(logits(p, X, mask, full=not short)[0]) * mask.T[:, :, None]
+            np.add.at(sums, owner[at:at + chunks], prob.sum(0))
+            np.add.at(counts, owner[at:at + chunks], mask.sum(1))
     return sums / np.maximum(counts, 1.0)[:, None]
 
 
