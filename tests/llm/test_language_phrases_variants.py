@@ -80,6 +80,15 @@ def test_collocations_equal_brute_force(spark):
     assert all(sorted(v) == [1, 2, 3] for v in few.values())
 
 
+def test_collocations_by_joins_beyond_the_shipped_bound(spark, monkeypatch):
+    monkeypatch.setattr(phrase_tiles, "SHIPPED", 0)
+    rows = planted_phrases() + odd()
+    got = {}
+    for r in sorted(phrase_tiles.collocations(frame(spark, rows)).collect(), key=lambda r: (r.lang, r.rank)):
+        got.setdefault(r.lang, []).append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+    assert got == brute.collocations([(t, l) for _, t, l in rows])
+
+
 def test_tiles_count_like_a_counter():
     rng = np.random.default_rng(2)
     lang = rng.integers(0, 2, 5000)

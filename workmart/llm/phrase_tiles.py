@@ -3,7 +3,10 @@
 Texts are lower-cased (A-Z only), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and pieces into words at `[\\x20\\x09]+`, per
 lang (null: `und`). Only words that occur `least` times or more can be in a phrase that does, so they alone get ids:
 ranked by frequency (descending classes of powers of two of their count; within a class by a hash-cut order), so that
-the most frequent words have the smallest ids. Each piece becomes an array of ids, -1 for the other words.
+the most frequent words have the smallest ids. If there are at most SHIPPED of them (a count checks it), the table goes
+to the tasks, which read the texts and turn words into ids themselves, so that no word occurrence is shuffled; beyond,
+word occurrences are joined with the table and each piece becomes an array of ids (-1 for the other words). The same
+holds for the table of frequent pairs in the count of three-word phrases.
 
 Pairs of neighbouring ids are counted inside tasks, in tiles of the id plane: the tile of the `dense` most frequent ids
 (where nearly all pairs fall) with a dense numpy bincount, the others as sorted coordinate lists (np.unique of packed
@@ -23,6 +26,8 @@ texts have no words; an empty table gives an empty result. Only text and lang ar
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -40,12 +45,21 @@ DENSE = 1024
 FLUSH = 4_000_000
 #: Cells of the first ranking step.
 CELLS = 64
+#: The frequent words and the frequent pairs are sent to the tasks if each has at most so many rows (checked by a count;
+#: about 60 MB of words); beyond that, word occurrences are joined with them instead.
+SHIPPED = 2_000_000
+#: The same separators for Python's re, in tasks that read texts themselves.
+PIECE_RE, SPACE_RE = re.compile("[.,;:!?\n\x0b\x0c\r]"), re.compile("[ \t]+")
 
 
-def pieces(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """_row (a stored row number), lang, words (array of the piece's words): one row for each piece with words."""
-    rows = store(docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"),
+def texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """_row (a stored row number), lang, _t (the lower-cased text), stored once."""
+    return store(docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"),
                              F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).alias("_t")))
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """_row, _p, lang, words (array of the piece's words): one row for each piece with words."""
     cut = rows.select("_row", "lang", F.posexplode(F.split("_t", PIECE)).alias("_p", "_piece"))
     words = F.filter(F.split("_piece", SPACE), lambda w: w != "")
     return cut.select("_row", "_p", "lang", words.alias("words")).filter(F.size("words") > 0)
@@ -77,8 +91,9 @@ def count_pairs(lang: np.ndarray, left: np.ndarray, right: np.ndarray, dense: in
     return out
 
 
-def _pair_counter(langs: str, left, right):
-    """A function for mapInArrow that counts the pairs that `left(batch)` and `right(batch)` give per lang row."""
+def _pair_counter(left):
+    """A function for mapInArrow that counts the pairs that `left(batch)` gives: (langs of its rows, row of each pair,
+    left ids, right ids)."""
 
     def run(batches):
         names, codes, lefts, rights, held = {}, [], [], [], 0
@@ -86,14 +101,16 @@ def _pair_counter(langs: str, left, right):
         def flush():
             nonlocal codes, lefts, rights, held
             if held:
+                known = list(names)
                 for code, a, b, c in count_pairs(np.concatenate(codes), np.concatenate(lefts), np.concatenate(rights)):
-                    yield pa.RecordBatch.from_arrays([pa.array([list(names)[code]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["lang", "left", "right", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([known[code]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["lang", "left", "right", "c"])
             codes, lefts, rights, held = [], [], [], 0
 
         for batch in slices(batches, 4096):
-            lang, a, b = left(batch, langs)
-            code = np.array([names.setdefault(x, len(names)) for x in lang], dtype=np.int64)
-            codes.append(code)
+            langs, rows, a, b = left(batch)
+            coded = langs.dictionary_encode()
+            per_row = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()] or [0], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            codes.append(per_row[rows])
             lefts.append(a)
             rights.append(b)
             held += len(a)
@@ -104,7 +121,7 @@ def _pair_counter(langs: str, left, right):
     return run
 
 
-def _neighbours(batch: pa.RecordBatch, langs: str):
+def _neighbours(batch: pa.RecordBatch):
     """Pairs of neighbouring known ids within each piece."""
     ids = batch.column("ids")
     flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -116,19 +133,63 @@ def _neighbours(batch: pa.RecordBatch, langs: str):
     ok = ok[:-1] if len(flat) else ok
     a, b, rows = flat[:-1], flat[1:], owner[:-1]
     keep = ok & (a >= 0) & (b >= 0)
-    lang = batch.column(langs).to_numpy(zero_copy_only=False)
-    return lang[rows[keep]], a[keep], b[keep]
+    return batch.column("lang"), rows[keep], a[keep], b[keep]
 
 
-def _given(batch: pa.RecordBatch, langs: str):
+def _given(batch: pa.RecordBatch):
     """Pairs given as columns left and right."""
-    lang = batch.column(langs).to_numpy(zero_copy_only=False)
-    return lang, batch.column("left").to_numpy().astype(np.int64), batch.column("right").to_numpy().astype(np.int64)
+    return batch.column("lang"), np.arange(batch.num_rows), batch.column("left").to_numpy().astype(np.int64), batch.column("right").to_numpy().astype(np.int64)
+
+
+def _encoded(batch: pa.RecordBatch, words: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words of a batch's texts, each piece followed by -1, and the row of each."""
+    ids, rows = [], []
+    for row, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("_t").to_pylist())):
+        known, start = words.get(lang, {}), len(ids)
+        for piece in PIECE_RE.split(text):
+            ids.extend(known.get(w, -1) for w in SPACE_RE.split(piece) if w)
+            ids.append(-1)
+        rows.extend([row] * (len(ids) - start))
+    return np.asarray(ids, np.int64), np.asarray(rows, np.int64)
+
+
+def _shipped_pairs(words):
+    """Reader of neighbouring known ids from texts, with the words sent to the tasks."""
+
+    def read(batch):
+        ids, rows = _encoded(batch, words.value)
+        keep = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        return batch.column("lang"), rows[:-1][keep], ids[:-1][keep], ids[1:][keep]
+
+    return read
+
+
+def _shipped_triples(words, pairs):
+    """Reader of (pair id of two known neighbours, id of the third) from texts, with words and pairs sent to the tasks."""
+
+    def read(batch):
+        ids, rows = _encoded(batch, words.value)
+        a, b, c, at = ids[:-2], ids[1:-1], ids[2:], rows[:-2]
+        keep = (a >= 0) & (b >= 0) & (c >= 0)
+        a, b, c, at = a[keep], b[keep], c[keep], at[keep]
+        langs = batch.column("lang").to_pylist()
+        pid = np.full(len(a), -1, np.int64)
+        for lang in set(langs):
+            codes, ids_of = pairs.value.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            mine = np.isin(at, [i for i, x in enumerate(langs) if x == lang])
+            packed = (a[mine] << 32) | b[mine]
+            found = np.minimum(np.searchsorted(codes, packed), max(len(codes) - 1, 0))
+            hit = len(codes) > 0
+            pid[mine] = np.where(hit & (codes[found] == packed) if hit else np.zeros(len(packed), bool), ids_of[found] if hit else -1, -1)
+        keep = pid >= 0
+        return batch.column("lang"), at[keep], pid[keep], c[keep]
+
+    return read
 
 
 def counted_pairs(df: DataFrame, reader) -> DataFrame:
     """lang, left, right, c: partial counts from every task, summed by Spark."""
-    partial = arrow_map(df, _pair_counter("lang", reader, None), "lang string, left long, right long, c long")
+    partial = arrow_map(df, _pair_counter(reader), "lang string, left long, right long, c long")
     return partial.groupBy("lang", "left", "right").agg(F.sum("c").alias("c"))
 
 
@@ -140,19 +201,36 @@ def _exact(a: str, l: str, r: str) -> Column:
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's first `top` candidates, as the module says."""
-    cut = pieces(docs, text, lang)
+    rows = texts(docs, text, lang)
+    cut = pieces(rows)
     counts = store(cut.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")))
     totals = counts.groupBy("lang").agg(F.sum("c").cast("long").alias("n"))
     vocabulary = store(ranked(counts.filter(F.col("c") >= least), ["lang"], "c", ["word"], "id"))
-    at = cut.select("_row", "_p", "lang", F.posexplode("words").alias("_i", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
-    encoded = store(at.groupBy("_row", "_p", "lang").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(-1)).alias("id")))).alias("_at"))
-                    .select("lang", F.transform("_at", lambda x: x["id"]).alias("ids")))
-    pairs = counted_pairs(encoded, _neighbours).filter(F.col("c") >= least)
-    pairs = store(ranked(pairs, ["lang"], "c", ["left", "right"], "pid"))
-    threes = encoded.filter(F.size("ids") >= 3).select("lang", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 3)).alias("_i")).select(
-        "lang", F.col("ids")[F.col("_i")].alias("left"), F.col("ids")[F.col("_i") + 1].alias("right"), F.col("ids")[F.col("_i") + 2].alias("_third"))
-    threes = threes.filter((F.col("left") >= 0) & (F.col("right") >= 0) & (F.col("_third") >= 0)).join(pairs.select("lang", "left", "right", "pid"), ["lang", "left", "right"])
-    triples = store(counted_pairs(threes.select("lang", F.col("pid").alias("left"), F.col("_third").alias("right")), _given).filter(F.col("c") >= least))
+    context = docs.sparkSession.sparkContext
+    if vocabulary.count() <= SHIPPED:
+        known = {}
+        for r in vocabulary.select("lang", "word", "id").toLocalIterator():
+            known.setdefault(r["lang"], {})[r["word"]] = r["id"]
+        words = context.broadcast(known)
+        pairs = store(ranked(counted_pairs(rows.select("lang", "_t"), _shipped_pairs(words)).filter(F.col("c") >= least), ["lang"], "c", ["left", "right"], "pid"))
+    else:
+        words, pairs = None, None
+    if words is not None and pairs.count() <= SHIPPED:
+        table = {}
+        for r in pairs.select("lang", (F.shiftleft("left", 32).bitwiseOR(F.col("right"))).alias("code"), "pid").toLocalIterator():
+            table.setdefault(r["lang"], []).append((r["code"], r["pid"]))
+        table = {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for k, v in table.items()}
+        triples = store(counted_pairs(rows.select("lang", "_t"), _shipped_triples(words, context.broadcast(table))).filter(F.col("c") >= least))
+    else:
+        at = cut.select("_row", "_p", "lang", F.posexplode("words").alias("_i", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
+        encoded = store(at.groupBy("_row", "_p", "lang").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(-1)).alias("id")))).alias("_at"))
+                        .select("lang", F.transform("_at", lambda x: x["id"]).alias("ids")))
+        if pairs is None:
+            pairs = store(ranked(counted_pairs(encoded, _neighbours).filter(F.col("c") >= least), ["lang"], "c", ["left", "right"], "pid"))
+        threes = encoded.filter(F.size("ids") >= 3).select("lang", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 3)).alias("_i")).select(
+            "lang", F.col("ids")[F.col("_i")].alias("left"), F.col("ids")[F.col("_i") + 1].alias("right"), F.col("ids")[F.col("_i") + 2].alias("_third"))
+        threes = threes.filter((F.col("left") >= 0) & (F.col("right") >= 0) & (F.col("_third") >= 0)).join(pairs.select("lang", "left", "right", "pid"), ["lang", "left", "right"])
+        triples = store(counted_pairs(threes.select("lang", F.col("pid").alias("left"), F.col("_third").alias("right")), _given).filter(F.col("c") >= least))
 
     word_c = vocabulary.select("lang", "id", "c")
     pair_c = pairs.select("lang", "pid", "left", "right", "c")
