@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from workmart.functions.keys import unique_key
 from workmart.functions.scalars import flag, millis, moment, number, text
-from workmart.operators.issues import current_fields, explode_changelog, field_history, value_id_type
+from workmart.operators.issues import current_fields, explode_changelog, field_history, issue_ids, value_id_type
 from workmart.operators.latest import latest_by
 from workmart.plans.registry import Landed, feeds
 from workmart.plans.staging.shape import KEYS, shape, truth, version
@@ -68,7 +68,7 @@ def jira_field_history(t: Landed, previous: DataFrame | None = None) -> DataFram
                          value_id_type(F.col("field_id"), F.col("has_id") == 1).alias("value_id_type"))
     snapshot = current_fields(t("bronze_jira.jira_issue"))
     items = explode_changelog(t("bronze_jira.jira_issue_history"))
-    ids = snapshot.select("source_id", "id_readable", "issue_id").distinct()
+    ids = issue_ids(t("bronze_jira.jira_issue"))
     events = items.join(ids, ["source_id", "id_readable"]).select(
         "source_id", "issue_id", "id_readable", "changelog_id", F.col("created_at").alias("event_at"),
         F.xxhash64("unique_key").alias("event_no"), F.col("author_account_id").alias("author_id"), "field_id",
