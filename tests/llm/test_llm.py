@@ -374,6 +374,29 @@ def test_trees_add_what_the_patterns_miss(spark, odd, none):
     assert pii_boost.find(none, finder, ["doc_id"]).count() == 0 and pii_boost.fit(none).trees == {}
 
 
+def test_personal_data_learns_from_whole_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):  # all values stand behind the first 2,000 characters
+        value = f"n{i}@mail{i % 9}.example.com" if i % 2 else f"+1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)}"
+        rows.append((i, "7 " + "words and more " * 200 + f"call {value} now, version 2.0"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    finder = pii_boost.fit(docs.repartition(1))
+    assert set(finder.trees) >= {3}
+    other = pii_boost.fit(docs.repartition(5))
+    assert other.thresholds == finder.thresholds
+    for kind, trees in finder.trees.items():
+        assert all(np.array_equal(a, b) for one, two in zip(trees.splits, other.trees[kind].splits, strict=True) for a, b in zip(one, two))
+
+
+def test_personal_data_uses_every_span(spark):
+    """Every base span of every text is in four examples, or three where it can't be written otherwise."""
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.example.org or 4111 1111 1111 1111 " + "x" * 100) for i in range(1600)], "doc_id long, text string")
+    rows = pii_boost.examples(docs).groupBy("kind", "true").count().collect()
+    n = {(r["kind"], r["true"]): r["count"] for r in rows}
+    assert n[2, 1] >= 1600 * 4  # as it is, in the two pairs with another value, written otherwise
+
+
 # --- pipeline ---------------------------------------------------------------------------
 
 

@@ -7,13 +7,14 @@ Boosted regression trees score each proposal from its format (digits, groups, se
 context (neighbouring characters and words). A threshold for each kind, calibrated on examples that were held back, selects
 what is added; of overlapping proposals the best stays, and none overlaps a base span.
 
-There are no labels of personal data. The trees learn from a bounded sample of documents (`SAMPLE`, by a hash of the id):
-their base spans are positive; so are the same values set next to each other or written in other ways, at places that are then
-known; proposals that hit no such place, and values with a wrong digit, are negative.
+There are no labels of personal data. The trees learn from all documents: base spans are positive; so are the same values set
+next to each other or written in other ways, at places that are then known; proposals that hit no such place, and values with a
+wrong digit, are negative. Tasks make the examples and bin them; for each level of a tree Spark sums the histograms of all
+kinds over all examples, and the driver, which sees these sums alone, picks the splits. Borders of the bins come from counts of
+all values, thresholds from counts of all scores held back. Sums are of whole numbers, so results don't depend on partitions.
 
 All scanning is linear in the text's length. Results for odd inputs: a null text is an empty one and has no spans; digits
-of any number in a row are scanned once; without base spans in the sample there are no positive examples, and base spans are
-the result; repeated rows have equal spans. Extra columns stay.
+of any number in a row are scanned once; without base spans there are no positive examples, and base spans are the result; repeated rows have equal spans. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -21,16 +22,23 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from workmart.llm.common import arrow_map, slices
+from workmart.llm.common import arrow_map, cells_for, slices, store, with_rank
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, TREES, DEPTH, RATE, PRECISION = 1500, 60, 4, 0.2, 0.98
+TREES, DEPTH, RATE, PRECISION = 60, 4, 0.2, 0.98
+#: Bins of a feature; a unit of the whole numbers that histograms sum; raw scores are counted in cells of 1 / CELL from -EDGE to EDGE.
+BINS, UNIT, CELL, EDGE = 33, 1 << 20, 128, 32
+#: Examples of a block and of a partition of blocks at most; trees after which the blocks' scores are kept anew.
+BLOCK, PART, KEEP = 1 << 16, 200_000, 8
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,40 +170,157 @@ class Trees:
         return z
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
-    """Newton boosting of the log loss; split candidates are up to 31 quantiles of each feature."""
-    n, width = x.shape
-    share = min(max(y.mean(), 1e-4), 1 - 1e-4)
-    model = Trees(float(np.log(share / (1 - share))))
-    borders = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1], method="lower")) for f in range(width)]
-    bins = np.stack([np.searchsorted(borders[f], x[:, f], side="left") for f in range(width)], axis=1)
-    z = np.full(n, model.start)
+def borders_of(counts: dict[tuple[int, int], dict[float, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """Up to 31 quantiles for each (kind, feature) from the counts of its values."""
+    made = {}
+    for key, seen in counts.items():
+        values = np.array(sorted(seen))
+        upto = np.cumsum([seen[v] for v in values.tolist()])
+        at = np.floor(np.linspace(0, 1, BINS)[1:-1] * (upto[-1] - 1))
+        made[key] = np.unique(values[np.searchsorted(upto, at, side="right")])
+    return made
+
+
+def binned(kind: np.ndarray, held: np.ndarray, true: np.ndarray, x: np.ndarray, borders: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """A block: one row of bytes for each example (kind, held back, true, bins); x > border j is bin > j."""
+    block = np.empty((len(x), 3 + x.shape[1]), dtype=np.uint8)
+    block[:, 0], block[:, 1], block[:, 2] = kind, held, true
+    for k in np.unique(kind).tolist():
+        own = kind == k
+        for f in range(x.shape[1]):
+            block[own, 3 + f] = np.searchsorted(borders.get((k, f), np.zeros(0)), x[own, f], side="left")
+    return block
+
+
+#: One tree for all kinds: feature and border (a bin) of each kind's inner nodes, and leaves.
+Layer = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _nodes(block: np.ndarray, feature: np.ndarray, border: np.ndarray, levels: int) -> np.ndarray:
+    kind, rows, node = block[:, 0], np.arange(len(block)), np.zeros(len(block), dtype=np.int64)
+    for _ in range(levels):
+        node = 2 * node + 1 + (block[rows, 3 + feature[kind, node]] > border[kind, node])
+    return node
+
+
+def _grown(block: np.ndarray, z: np.ndarray, layers: list[Layer]) -> np.ndarray:
+    for feature, border, leaves in layers:
+        z = z + leaves[block[:, 0], _nodes(block, feature, border, DEPTH) - (2**DEPTH - 1)]
+    return z
+
+
+def _histogram(block: np.ndarray, z: np.ndarray, feature: np.ndarray, border: np.ndarray, level: int) -> np.ndarray:
+    """Slopes and bends of the log loss by kind, node of the level, feature and bin, in whole units, of what isn't held back."""
+    learnt = block[:, 1] == 0
+    block, z = block[learnt], z[learnt]
+    width, places = block.shape[1] - 3, 2**level
+    p = 1 / (1 + np.exp(-z))
+    slope, bend = np.rint((block[:, 2] - p) * UNIT), np.maximum(np.rint(p * (1 - p) * UNIT), 1)
+    place = (block[:, 0].astype(np.int64) * places + _nodes(block, feature, border, level) - (places - 1)) * BINS
+    size = len(KINDS) * places * BINS
+    sums = [[np.bincount(place + block[:, 3 + f], weights=w, minlength=size) for f in range(width)] for w in (slope, bend)]
+    return np.array(sums).reshape(2, width, len(KINDS), places, BINS)
+
+
+def _held_scores(block: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Examples held back by kind, truth and cell of the score."""
+    held = block[:, 1] == 1
+    cells = 2 * EDGE * CELL
+    at = np.clip(np.floor((z[held] + EDGE) * CELL), 0, cells - 1).astype(np.int64)
+    key = (block[held, 0].astype(np.int64) * 2 + block[held, 2]) * cells + at
+    return np.bincount(key, minlength=len(KINDS) * 2 * cells).reshape(len(KINDS), 2, cells)
+
+
+class Here:
+    """Blocks in memory."""
+
+    def __init__(self, blocks: list[np.ndarray], start: np.ndarray):
+        self.start, self.blocks = start, blocks
+        self.kept = [start[b[:, 0]] for b in blocks]
+
+    def total(self, make: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        return sum(make(b, z) for b, z in zip(self.blocks, self.kept))
+
+    def keep(self, layers: list[Layer]) -> None:
+        self.kept = [_grown(b, self.start[b[:, 0]], layers) for b in self.blocks]
+
+
+class Spread:
+    """Blocks of all tasks, summed by Spark."""
+
+    def __init__(self, blocks: RDD, start: np.ndarray):
+        self.start, self.blocks = start, blocks.persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept: RDD | None = None
+        self.keep([])
+
+    def total(self, make: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        return self.kept.treeAggregate(0, lambda found, row: found + make(*row), lambda a, b: a + b)
+
+    def keep(self, layers: list[Layer]) -> None:
+        before, start = self.kept, self.start
+        self.kept = self.blocks.map(lambda b: (b, _grown(b, start[b[:, 0]], layers))).persist(StorageLevel.MEMORY_AND_DISK)
+        if before is not None:
+            before.unpersist()
+
+    def end(self) -> None:
+        self.kept.unpersist()
+        self.blocks.unpersist()
+
+
+def boost(blocks: Here | Spread, borders: dict[tuple[int, int], np.ndarray], kinds: list[int], width: int, precision: float, trees: int = TREES) -> Finder:
+    """Newton boosting of the log loss for all `kinds` at once, and for each the lowest threshold that is so precise on what was held back."""
+    inner, layers, new = 2**DEPTH - 1, [], []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-z))
-        slope, bend = y - p, np.maximum(p * (1 - p), 1e-6)
-        inner = 2**DEPTH - 1
-        feature, border, node = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.zeros(n, dtype=np.int64)
+        feature, border = np.zeros((len(KINDS), inner), dtype=np.int64), np.full((len(KINDS), inner), BINS, dtype=np.int64)
+        leaves = np.zeros((len(KINDS), 2**DEPTH))
         for level in range(DEPTH):
-            first, width_here = 2**level - 1, 2**level
-            place = node - first
-            best = np.full(width_here, 1e-6)
-            for f in range(width):
-                key = place * 33 + bins[:, f]
-                g = np.bincount(key, weights=slope, minlength=width_here * 33).reshape(width_here, 33).cumsum(axis=1)
-                h = np.bincount(key, weights=bend, minlength=width_here * 33).reshape(width_here, 33).cumsum(axis=1)
-                total_g, total_h = g[:, -1:], h[:, -1:]
+            first, since = 2**level - 1, list(new)
+            sums = blocks.total(lambda b, z: _histogram(b, _grown(b, z, since), feature, border, level)) / UNIT
+            for k in kinds:
+                g, h = sums[:, :, k].cumsum(axis=-1)  # feature, node, bin
+                total_g, total_h = g[..., -1:], h[..., -1:]
                 gain = g**2 / (h + 1) + (total_g - g) ** 2 / (total_h - h + 1) - total_g**2 / (total_h + 1)
-                gain[:, len(borders[f]) :] = -1
-                at = gain.argmax(axis=1)
-                for k in range(width_here):
-                    if gain[k, at[k]] > best[k]:
-                        best[k], feature[first + k], border[first + k] = gain[k, at[k]], f, borders[f][at[k]]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > border[node])
-        leaf = node - inner
-        leaves = RATE * np.bincount(leaf, weights=slope, minlength=2**DEPTH) / (np.bincount(leaf, weights=bend, minlength=2**DEPTH) + 1)
-        model.splits.append((feature, border, leaves))
-        z += leaves[leaf]
-    return model
+                for f in range(width):
+                    gain[f, :, len(borders.get((k, f), ())) :] = -1
+                for place in range(2**level):
+                    f, at = divmod(int(gain[:, place].argmax()), BINS)
+                    if gain[f, place, at] > 1e-6:
+                        feature[k, first + place], border[k, first + place] = f, at
+                    else:
+                        f, at = 0, BINS - 1  # no split: all go left
+                    if level == DEPTH - 1:
+                        left_g, left_h = g[f, place, at], h[f, place, at]
+                        leaves[k, 2 * place] = RATE * left_g / (left_h + 1)
+                        leaves[k, 2 * place + 1] = RATE * (g[f, place, -1] - left_g) / (h[f, place, -1] - left_h + 1)
+        layers.append((feature, border, leaves))
+        new.append(layers[-1])
+        if len(new) == KEEP:
+            blocks.keep(list(layers))
+            new = []
+    since = list(new)
+    scores = blocks.total(lambda b, z: _held_scores(b, _grown(b, z, since)))
+    models, thresholds = {}, {}
+    for k in kinds:
+        true, all_ = scores[k, 1, ::-1].cumsum(), scores[k].sum(axis=0)[::-1].cumsum()
+        good = np.flatnonzero((true >= precision * all_) & (np.diff(all_, prepend=0) > 0))
+        if len(good):
+            cell = scores.shape[2] - 1 - good[-1]
+            at = {f: np.append(borders.get((k, f), np.zeros(0)), np.inf) for f in range(width)}
+            splits = [(f[k], np.array([at[i][min(j, len(at[i]) - 1)] for i, j in zip(f[k].tolist(), b[k].tolist())]), v[k]) for f, b, v in layers]
+            models[k], thresholds[k] = Trees(float(blocks.start[k]), splits), max(float(cell / CELL - EDGE), 0.0)
+    return Finder(models, thresholds)
+
+
+def _starts(shown_: dict[tuple[int, int, int], int]) -> tuple[list[int], np.ndarray]:
+    """From numbers of examples by (kind, held back, true): kinds with enough of them, and the log odds that trees start from."""
+    kinds, start = [], np.zeros(len(KINDS))
+    for k in range(len(KINDS)):
+        n = {(h, t): shown_.get((k, h, t), 0) for h in (0, 1) for t in (0, 1)}
+        if sum(n.values()) >= 40 and n[0, 1] >= 10 and n[1, 1] >= 3:
+            share = min(max(n[0, 1] / (n[0, 0] + n[0, 1]), 1e-4), 1 - 1e-4)
+            kinds.append(k)
+            start[k] = float(np.log(share / (1 - share)))
+    return kinds, start
 
 
 @dataclass
@@ -263,75 +388,178 @@ def _spoilt(rng: random.Random, kind: int, value: str) -> str:
     return "".join(str(rng.randrange(10)) for _ in range(rng.choice((5, 6, 8, 10, 14, 17)))) if kind == 3 else value.replace("@", " near ").replace(".", " ")
 
 
-def examples(texts: list[str], seed: int = 5) -> list[tuple[str, set[tuple[int, int, int]]]]:
-    """Passages about the base spans of some texts, with the places of true spans: as they are, side by side, in other writings, spoilt."""
+def passage_of(rng: random.Random, way: int, kind: int, value: str, before: str, after: str, other: tuple[int, str] | None) -> tuple[str, set[tuple[int, int, int]]] | None:
+    """A value between its neighbours, with the places of true spans: beside another value (ways 0, 1), written otherwise (2), spoilt (3)."""
+    if way < 2:
+        values = [(kind, value, True), (*other, True)] if way == 0 else [(*other, True), (kind, value, True)]
+    elif way == 2:
+        written = _other_writing(rng, kind, value)
+        values = [(kind, written, True)] if written else []
+    else:
+        values = [(kind, _spoilt(rng, kind, value), False)]
+    passage, true = before, set()
+    for n, (k, v, real) in enumerate(values):
+        passage += " " * (n > 0)
+        if real and (k != 2 or luhn(_digits(v))):
+            true.add((k, len(passage), len(passage) + len(v)))
+        passage += v
+    return (passage + after, true) if values else None
+
+
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    return text[max(0, start - 40) : start], text[end : end + 40]
+
+
+def _held(passage: str) -> bool:
+    return zlib.crc32(passage.encode("utf-8", "surrogatepass")) % 4 == 3
+
+
+def judged(text: str, true: set[tuple[int, int, int]], held: bool | None = None) -> Iterator[tuple[int, bool, bool, list[float]]]:
+    """kind, held back, true and features of each proposal; a place is held back by its neighbourhood, so that copies are together."""
+    for p in proposals(text):
+        yield p[0], _held(text[max(0, p[1] - 24) : p[2] + 24]) if held is None else held, p in true, features(text, *p)
+
+
+def fit_texts(texts: list[str], precision: float = PRECISION, seed: int = 5) -> Finder:
+    """As `fit`, of a few texts in memory."""
     rng = random.Random(seed)
     own = [(t, base_spans(t)) for t in texts]
-    pool = {k: [t[s:e] for t, b in own for kind, s, e in b if kind == k] for k in range(4)}
+    pool = {k: [t[s:e] for t, b in own for kind, s, e in b if kind == k] for k in range(len(KINDS))}
     pool = {k: v for k, v in pool.items() if v}
-    made = []
-    for text, base in own:
-        for m in list(GROUP.finditer(text))[:20]:  # what has digits and is no span: a sample is enough to learn from
-            low = max(0, m.start() - 60)
-            made.append((text[low : m.end() + 60], {(k, s - low, e - low) for k, s, e in base if s >= low and e <= m.end() + 60}))
-        for _, s, e in spelt(text)[:20]:
-            made.append((text[max(0, s - 40) : e + 40], set()))
-        for kind, s, e in base:
-            before, after = text[max(0, s - 40) : s], text[e : e + 40]
+    rows = [r for t, b in own for r in judged(t, set(b))]
+    for t, b in own:
+        for kind, s, e in b:
             for way in range(4):
-                if way == 0:
-                    values = [(kind, text[s:e], True), (k := rng.choice(list(pool)), rng.choice(pool[k]), True)]
-                elif way == 1:
-                    values = [(k := rng.choice(list(pool)), rng.choice(pool[k]), True), (kind, text[s:e], True)]
-                elif way == 2:
-                    other = _other_writing(rng, kind, text[s:e])
-                    values = [(kind, other, True)] if other else []
-                else:
-                    values = [(kind, _spoilt(rng, kind, text[s:e]), False)]
-                passage, true = before, set()
-                for n, (k, value, real) in enumerate(values):
-                    passage += " " * (n > 0)
-                    if real and (k != 2 or luhn(_digits(value))):
-                        true.add((k, len(passage), len(passage) + len(value)))
-                    passage += value
-                if values:
-                    made.append((passage + after, true))
-    return made
-
-
-def fit_texts(texts: list[str], precision: float = PRECISION) -> Finder:
-    made = examples(texts)
-    rows: dict[int, list[tuple[bool, list[float], bool]]] = {k: [] for k in range(4)}
-    for n, (passage, true) in enumerate(made):
-        for p in proposals(passage):
-            exact = p in true
-            rows[p[0]].append((n % 4 == 3, features(passage, *p), exact))
-    trees, thresholds = {}, {}
-    for kind, own in rows.items():
-        held = np.array([r[0] for r in own], dtype=bool)
-        x, y = np.array([r[1] for r in own], dtype=float), np.array([r[2] for r in own], dtype=float)
-        if len(own) < 40 or y[~held].sum() < 10 or y[held].sum() < 3:
-            continue
-        model = fit_trees(x[~held], y[~held])
-        z, true = model.raw(x[held]), y[held]
-        order = np.argsort(-z)
-        right = np.cumsum(true[order]) / np.arange(1, len(order) + 1)
-        last_of_score = np.append(z[order][1:] != z[order][:-1], True)
-        good = np.flatnonzero((right >= precision) & last_of_score)
-        if len(good):
-            trees[kind], thresholds[kind] = model, max(float(z[order][good[-1]]), 0.0)
-    return Finder(trees, thresholds)
-
-
-def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", sample: int = SAMPLE) -> Finder:
-    """The sample is of documents with an @, or digits as cards, addresses and phone numbers have them."""
-    t = F.col(f"`{text}`")
-    likely = docs.filter(t.contains("@") | t.rlike(r"\+[0-9]|[0-9]{7}|[0-9]\.[0-9]+\.[0-9]"))
-    # passages of 2,000 characters are enough to learn from; spans are looked for in whole texts
-    chosen = likely.select(F.xxhash64(id, t).alias("h")).orderBy("h").limit(sample).distinct()
-    passage = F.expr(f"substring(`{text}`, greatest(1, regexp_instr(`{text}`, '[0-9@]') - 200), 2000)").alias("t")
-    rows = likely.withColumn("_h", F.xxhash64(id, t)).join(F.broadcast(chosen), F.col("_h") == F.col("h")).select("h", passage).distinct().orderBy("h", "t").collect()
-    return fit_texts([r["t"] for r in rows])
+                k = rng.choice(list(pool))
+                made = passage_of(rng, way, kind, t[s:e], *_around(t, s, e), (k, rng.choice(pool[k])))
+                rows += judged(*made, _held(made[0])) if made else []
+    if not rows:
+        return Finder({}, {})
+    kind, held, true, x = (np.array(c) for c in zip(*rows))
+    shown_: dict[tuple[int, int, int], int] = {}
+    for r in rows:
+        shown_[r[0], int(r[1]), int(r[2])] = shown_.get((r[0], int(r[1]), int(r[2])), 0) + 1
+    counts = {(k, f): dict(zip(*(a.tolist() for a in np.unique(x[(kind == k) & ~held, f], return_counts=True)))) for k in np.unique(kind[~held]).tolist() for f in range(x.shape[1])}
+    kinds, start = _starts(shown_)
+    borders = borders_of(counts)
+    return boost(Here([binned(kind, held, true, x, borders)], start), borders, kinds, x.shape[1], precision)
+
+
+#: Examples as rows: features as 32-bit floats.
+EXAMPLE = "kind int, held int, true int, x binary"
+
+
+def _example_batch(rows: list[tuple[int, bool, bool, list[float]]]) -> list[pa.Array]:
+    columns = [pa.array([int(r[i]) for r in rows], pa.int32()) for i in range(3)]
+    return columns + [pa.array([np.array(r[3], dtype=np.float32).tobytes() for r in rows], pa.binary())]
+
+
+def _seen(batches):
+    """Of each text its base spans with what is around them (`value` is set) and its proposals as examples (`x` is set)."""
+    for batch in slices(batches):
+        spans, rows = [], []
+        for key, text in zip(batch.column("_h").to_pylist(), batch.column("_text").to_pylist()):
+            base = base_spans(text)
+            spans += [(key, s, k, text[s:e], *_around(text, s, e)) for k, s, e in base]
+            rows += judged(text, set(base))
+        if spans:
+            columns = [pa.array(c, t) for c, t in zip(zip(*spans), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            nothing = pa.nulls(len(spans), pa.int32())
+            yield pa.RecordBatch.from_arrays([*columns, nothing, nothing, pa.nulls(len(spans), pa.binary())], names=_SEEN)
+        if rows:
+            kind, held, true, x = _example_batch(rows)
+            blank = [pa.nulls(len(rows), t) for t in (pa.string(), pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32()), kind, *blank, held, true, x], names=_SEEN)
+
+
+_SEEN = ["h", "start", "kind", "value", "before", "after", "held", "true", "x"]
+
+
+def _made(batches):
+    for batch in slices(batches):
+        rows = []
+        for r in batch.to_pylist():
+            other = None if r["value2"] is None else (r["kind2"], r["value2"])
+            made = passage_of(random.Random(r["seed"]), r["way"], r["kind"], r["value"], r["before"], r["after"], other)
+            rows += judged(*made, _held(made[0])) if made else []
+        if rows:
+            yield pa.RecordBatch.from_arrays(_example_batch(rows), names=["kind", "held", "true", "x"])
+
+
+def examples(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Examples from every text: all its proposals, and passages about each base span; for two of these another value is drawn
+    from all base spans, first its kind, then its place among the spans of that kind."""
+    keyed = docs.filter(F.col(f"`{text}`").isNotNull()).select(F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("_h"), F.col(f"`{text}`").alias("_text"))
+    seen = store(arrow_map(keyed, _seen, "h long, start int, kind int, value string, before string, after string, held int, true int, x binary"))
+    own = seen.filter("x is not null").select("kind", "held", "true", "x")
+    spans = seen.filter("value is not null").select("h", "start", "kind", "value", "before", "after")
+    sizes = {r["kind"]: r["count"] for r in spans.groupBy("kind").count().orderBy("kind").collect()}
+    if not sizes:
+        return own
+    placed = with_rank(spans.select("kind", "value", "h", "start"), ["kind"], ["h", "start"], cells_for(sum(sizes.values())), "_at")
+    values = placed.select(F.col("kind").alias("kind2"), F.col("_at").alias("at2"), F.col("value").alias("value2"))
+    ways = spans.withColumn("way", F.explode(F.array(*map(F.lit, range(4))))).withColumn("seed", F.xxhash64("h", "start", "kind", "way"))
+    kinds, counts = (F.array(*map(F.lit, c)) for c in (list(sizes), list(sizes.values())))
+    ways = ways.withColumn("_k", F.when(F.col("way") < 2, F.pmod(F.xxhash64("seed", F.lit(1)), F.lit(len(sizes))).cast("int")))
+    ways = ways.withColumn("kind2", F.get(kinds, "_k")).withColumn("at2", F.pmod(F.xxhash64("seed", F.lit(2)), F.get(counts, "_k").cast("long")))
+    drawn = ways.join(values, ["kind2", "at2"], "left").select("way", "seed", "kind", "value", "before", "after", "kind2", "value2")
+    drawn = drawn.repartition(cells_for(4 * sum(sizes.values())), "seed")  # few bytes, but much work for each row
+    return own.unionByName(arrow_map(drawn, _made, EXAMPLE))
+
+
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    kind, held, true = (batch.column(c).to_numpy() for c in ("kind", "held", "true"))
+    return kind, held, true, np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1).astype(float)
+
+
+def _value_counts(batches):
+    """How often each value occurs by kind and feature in what isn't held back; feature -1 - held: examples by truth."""
+    found: dict[tuple[int, int, float], int] = {}
+    for batch in slices(batches, BLOCK):
+        kind, held, true, x = _matrix(batch)
+        for k in np.unique(kind).tolist():
+            for f, column in [(-1 - h, true[(kind == k) & (held == h)].astype(float)) for h in (0, 1)] + [(f, x[(kind == k) & (held == 0), f]) for f in range(x.shape[1])]:
+                for v, n in zip(*(a.tolist() for a in np.unique(column, return_counts=True))):
+                    found[k, f, v] = found.get((k, f, v), 0) + n
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(*key, n) for key, n in found.items()]), (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], names=["kind", "f", "v", "n"])
+
+
+def fit(docs: DataFrame, text: str = "text", id: str = "doc_id", precision: float = PRECISION) -> Finder:
+    """Trees and thresholds from the examples of all texts."""
+    rows = store(examples(docs, text, id))
+    counts: dict[tuple[int, int], dict[float, int]] = {}
+    shown_: dict[tuple[int, int, int], int] = {}
+    # a feature is a small number (a length, a digit, a flag), so its values are few
+    for r in arrow_map(rows, _value_counts, "kind int, f int, v double, n long").groupBy("kind", "f", "v").agg(F.sum("n").alias("n")).collect():
+        if r["f"] < 0:
+            shown_[r["kind"], -1 - r["f"], int(r["v"])] = r["n"]
+        else:
+            counts.setdefault((r["kind"], r["f"]), {})[r["v"]] = r["n"]
+    kinds, start = _starts(shown_)
+    if not kinds:
+        return Finder({}, {})
+    borders, width = borders_of(counts), 1 + max(f for _, f in counts)
+
+    def pack(batches):
+        held: list[np.ndarray] = []
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block"])
+
+        for batch in slices(batches, BLOCK):
+            held.append(binned(*_matrix(batch), borders))
+            if sum(map(len, held)) >= BLOCK:
+                yield block()
+                held = []
+        if held:
+            yield block()
+
+    packed = arrow_map(rows.coalesce(-(-sum(shown_.values()) // PART)), pack, "block binary")
+    blocks = Spread(packed.rdd.map(lambda r: np.frombuffer(bytes(r[0]), dtype=np.uint8).reshape(-1, 3 + width)), start)
+    found = boost(blocks, borders, kinds, width, precision)
+    blocks.end()
+    return found
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
