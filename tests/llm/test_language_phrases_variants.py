@@ -50,6 +50,16 @@ def test_variants_equal_brute_force(spark):
     assert got["colurful"][0] is None or got["colurful"][2] * 10 <= got["colurful"][4]
 
 
+def test_variants_sort_narrow_rotations_once(spark):
+    vocabulary = spark.createDataFrame([("colourful", 300), ("colorful", 25), ("colurful", 2)], "word string, n long")
+    rows = spelling_variants.rotations(vocabulary)
+    assert rows.columns == ["key", "c", "n"]
+    words = rows.select(spelling_variants.word_of(rows.c).alias("word")).groupBy("word").count().collect()
+    assert {r["word"]: r["count"] for r in words} == {"colourful": 19, "colorful": 17, "colurful": 17}
+    plan = spelling_variants.neighbours(vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1
+
+
 def test_variants_on_empty_table(spark):
     assert spelling_variants.variants(frame(spark, [])).collect() == []
 

@@ -9,11 +9,12 @@ code point at i of the rotation that starts just after it gives the *skip key* w
   a deletion (an insertion seen from v). Where w has a run of equal code points, every place in the run gives v; only
   the first place of a run (i = 0 or w[i-1] != w[i]) is taken, so that each pair meets under one key alone.
 
-Sorting all rotations brings equal keys together; Spark does that sorting as a grouping by key. No pair of a group is
-formed: a group gives each of its members the number of its neighbours in the group and the best of them (largest n,
-then smallest word), from the group's two best skip members, its best first-of-run skip member and its best full member.
-A key with a third of all rows is one partially aggregated group, and the join back to its members is split by the
-adaptive skew join. Forms point to words with ten times the count or more, so a chain of forms is short (at most
+Sorting all rotations brings equal keys together; Spark does that sorting as a window over keys, in one shuffle. A row is the
+key, the code point left out (null: a full rotation) and n: the word is what stands after the `$`, the code point, and what
+stands before. No pair of a group is formed: a group gives each of its members the number of its neighbours in the group
+and the best of them (largest n, then smallest word), from the group's two best skip members, its best first-of-run skip
+member and its full member. Words are distinct, so a group has at most one skip member for each letter (90) and one full one.
+Forms point to words with ten times the count or more, so a chain of forms is short (at most
 log10 of all occurrences); roots are found by pointer doubling in as many rounds as the chain's length has bits.
 
 Results for odd inputs: a null text has no runs; a null doc_id counts as the empty text in `<doc_id>:<run>`; empty and
@@ -23,7 +24,7 @@ result. Only the columns doc_id and text are read, so other columns of any name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from workmart.llm.common import store
 
@@ -56,40 +57,45 @@ def words(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 
 def rotations(vocabulary: DataFrame) -> DataFrame:
-    """key, skip (true: a skip key, false: a full rotation), first (skip at the first place of a run), word, n."""
+    """key, c (the code point left out; null: a full rotation), n; `word_of` gives the word."""
     places = vocabulary.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i"))
-    full = places.select(F.expr(f"concat(substring(word, i + 1), '{END}', substring(word, 1, i))").alias("key"), F.lit(False).alias("skip"), F.lit(False).alias("first"), "word", "n")
-    skips = places.filter(F.col("i") < F.length("word")).select(
-        F.expr(f"concat(substring(word, i + 2), '{END}', substring(word, 1, i))").alias("key"), F.lit(True).alias("skip"),
-        F.expr("i = 0 or substring(word, i, 1) != substring(word, i + 1, 1)").alias("first"), "word", "n")
-    return full.unionByName(skips)
+    # a full rotation, and at each place but the end the one that lacks a code point
+    made = F.array(F.struct(F.expr(f"concat(substring(word, i + 1), '{END}', substring(word, 1, i))").alias("key"), F.lit(None).cast("string").alias("c")),
+                   F.struct(F.expr(f"concat(substring(word, i + 2), '{END}', substring(word, 1, i))").alias("key"), F.expr("substring(word, i + 1, 1)").alias("c")))
+    rows = places.select("n", F.explode(made).alias("_r")).select("_r.key", "_r.c", "n")
+    return rows.filter(F.col("c").isNull() | (F.col("c") != ""))
 
 
-def _rank(n: str = "n", word: str = "word") -> Column:
-    """Smaller is better: larger n, then smaller word (UTF-8 byte order is code-point order)."""
-    return F.struct((-F.col(n)).alias("neg_n"), F.col(word).alias("word"))
+def word_of(c: Column) -> Column:
+    return F.concat(F.substring_index("key", END, -1), F.coalesce(c, F.lit("")), F.substring_index("key", END, 1))
 
 
-def _best(condition: Column) -> Column:
-    return F.min(F.when(condition, _rank()))
+def _rank(n: Column, c: Column) -> Column:
+    """Smaller is better: larger n, then smaller word (UTF-8 byte order is code-point order)."""
+    return F.struct((-n).alias("neg_n"), word_of(c).alias("word"))
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
     """word, n, n_near, best (struct of neg_n and word of the best near word, null if none)."""
-    members = store(rotations(vocabulary))
-    groups = members.groupBy("key").agg(
-        F.count(F.when(F.col("skip"), 1)).alias("n_skip"), F.count(F.when(F.col("skip") & F.col("first"), 1)).alias("n_first"),
-        F.count(F.when(~F.col("skip"), 1)).alias("n_full"), _best(F.col("skip")).alias("best_skip"),
-        _best(F.col("skip") & F.col("first")).alias("best_first"), _best(~F.col("skip")).alias("best_full"))
-    groups = groups.filter((F.col("n_skip") + F.col("n_full") > 1) & (F.col("n_skip") > 0))
-    second = (members.filter("skip").join(groups.select("key", F.col("best_skip.word").alias("_top")), "key")
-              .filter(F.col("word") != F.col("_top")).groupBy("key").agg(F.min(_rank()).alias("second_skip")))
-    told = members.join(groups.join(second, "key", "left"), "key")
-    other_skip = F.when(F.col("word") == F.col("best_skip.word"), F.col("second_skip")).otherwise(F.col("best_skip"))
-    near = F.when(F.col("skip"), F.col("n_skip") - 1 + F.when(F.col("first"), F.col("n_full")).otherwise(0)).otherwise(F.col("n_first"))
-    best = F.when(F.col("skip"), F.when(F.col("first"), F.least(other_skip, F.col("best_full"))).otherwise(other_skip)).otherwise(F.col("best_first"))
-    per_word = told.select("word", "n", near.alias("_near"), best.alias("_best")).groupBy("word", "n").agg(F.sum("_near").alias("n_near"), F.min("_best").alias("best"))
-    return vocabulary.join(per_word, ["word", "n"], "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "best")
+    members = rotations(vocabulary).select("key", "c", "n", F.struct("n", "c").alias("_m"))
+    skip, first = F.col("c").isNotNull(), F.coalesce(F.col("c") != F.expr("substring(key, -1, 1)"), F.lit(False))
+    # skip members first, best first: words of one key are ordered as the code points left out are
+    group = W.partitionBy("key").orderBy(F.desc(skip), F.desc("n"), "c").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    told = members.select(
+        "key", "c", "n", F.count(F.when(skip, 1)).over(group).alias("n_skip"), F.count(F.when(first, 1)).over(group).alias("n_first"),
+        F.count(F.when(~skip, 1)).over(group).alias("n_full"), F.first("_m").over(group).alias("one"), F.nth_value("_m", 2).over(group).alias("two"),
+        F.first(F.when(first, F.col("_m")), ignorenulls=True).over(group).alias("best_first"), F.last("_m").over(group).alias("full"))
+    near = F.when(skip, F.col("n_skip") - 1 + F.when(first, F.col("n_full")).otherwise(0)).otherwise(F.col("n_first"))
+    told = told.withColumn("_near", near).filter("_near > 0")
+
+    def rank(member: str) -> Column:
+        return _rank(F.col(f"{member}.n"), F.col(f"{member}.c"))
+
+    other_skip = F.when(F.col("n_skip") > 1, F.when(F.col("c") == F.col("one.c"), rank("two")).otherwise(rank("one")))
+    of_full = F.when(F.col("n_full") > 0, rank("full"))
+    best = F.when(skip, F.when(first, F.least(other_skip, of_full)).otherwise(other_skip)).otherwise(rank("best_first"))
+    per_word = told.select(word_of(F.col("c")).alias("word"), "_near", best.alias("_best")).groupBy("word").agg(F.sum("_near").alias("n_near"), F.min("_best").alias("best"))
+    return vocabulary.join(per_word, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "best")
 
 
 def roots(forms: DataFrame) -> DataFrame:
