@@ -110,6 +110,15 @@ def test_tiles_count_like_a_counter():
     assert got == want
 
 
+def test_tiles_count_ids_of_32_bits():
+    rng = np.random.default_rng(3)
+    lang, left, right = (rng.integers(0, most, 5000) for most in (2, 3000, 3000))
+    left[:50], right[:50] = 2**31 - 1, 2**31 - 1
+    wide, narrow = phrase_tiles.count_pairs(lang, left, right), phrase_tiles.count_pairs(lang.astype(np.int32), left.astype(np.int32), right.astype(np.int32))
+    for one, two in zip(wide, narrow, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
+
+
 def test_collocations_on_empty_table(spark):
     assert phrase_tiles.collocations(frame(spark, [])).collect() == []
 

@@ -83,10 +83,15 @@ def count_pairs(lang: np.ndarray, left: np.ndarray, right: np.ndarray, dense: in
         mine = lang == code
         a, b = left[mine], right[mine]
         inside = (a < dense) & (b < dense)
-        tile = np.bincount(a[inside] * dense + b[inside], minlength=dense * dense)
+        tile = np.bincount(a[inside].astype(np.int64) * dense + b[inside], minlength=dense * dense)
         at = np.flatnonzero(tile)
         out.append((code, at // dense, at % dense, tile[at]))
-        packed, counts = np.unique((a[~inside] << 32) | b[~inside], return_counts=True)
+        packed = a[~inside].astype(np.int64)
+        packed <<= 32
+        packed |= b[~inside]
+        packed.sort()  # in place; np.unique holds copies
+        first = np.flatnonzero(np.diff(packed, prepend=-1))
+        counts, packed = np.diff(first, append=len(packed)), packed[first]
         out.append((code, packed >> 32, packed & 0xFFFFFFFF, counts))
     return out
 
@@ -101,8 +106,11 @@ def _pair_counter(left):
         def flush():
             nonlocal codes, lefts, rights, held
             if held:
-                known = list(names)
-                for code, a, b, c in count_pairs(np.concatenate(codes), np.concatenate(lefts), np.concatenate(rights)):
+                known, joined = list(names), []
+                for parts in (codes, lefts, rights):
+                    joined.append(np.concatenate(parts))
+                    parts.clear()
+                for code, a, b, c in count_pairs(*joined):
                     yield pa.RecordBatch.from_arrays([pa.array([known[code]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["lang", "left", "right", "c"])
             codes, lefts, rights, held = [], [], [], 0
 
@@ -110,9 +118,9 @@ def _pair_counter(left):
             langs, rows, a, b = left(batch)
             coded = langs.dictionary_encode()
             per_row = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()] or [0], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-            codes.append(per_row[rows])
-            lefts.append(a)
-            rights.append(b)
+            codes.append(per_row[rows].astype(np.int32))  # ids are below 2^31
+            lefts.append(a.astype(np.int32))
+            rights.append(b.astype(np.int32))
             held += len(a)
             if held >= FLUSH:
                 yield from flush()
