@@ -7,6 +7,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -119,6 +120,46 @@ def test_tiles_count_ids_of_32_bits():
         assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
 
 
+def test_collocations_count_pairs_once(spark, monkeypatch):
+    seen, counter = spark.sparkContext.accumulator(0), phrase_tiles._pair_counter
+
+    def counted(reader):
+        run = counter(reader)
+
+        def watched(batches):
+            def watch():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return run(watch())
+
+        return watched
+
+    monkeypatch.setattr(phrase_tiles, "_pair_counter", counted)
+    rows = planted_phrases() + odd()
+    assert phrase_tiles.collocations(frame(spark, rows)).count() > 0
+    assert seen.value == 2 * len(rows)  # each text once for pairs and once for phrases of three words
+
+
+def test_pair_counts_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(phrase_tiles, "FLUSH", 3000)
+    monkeypatch.setattr(phrase_tiles, "SENT", 100)
+    rng = np.random.default_rng(4)
+    langs = [["en", "de"][x] for x in rng.integers(0, 2, 10_000)]
+    left, right = rng.integers(0, 2000, 10_000), rng.integers(0, 3, 10_000) * 700
+    given = pa.table({"lang": langs, "left": left, "right": right}).to_batches(max_chunksize=1000)
+    got, want = {}, {}
+    for batch in phrase_tiles._pair_counter(phrase_tiles._given)(iter(given)):
+        assert batch.num_rows <= 100
+        for r in batch.to_pylist():
+            key = (r["lang"], r["left"], r["right"])
+            got[key] = got.get(key, 0) + r["c"]
+    for key in zip(langs, left.tolist(), right.tolist()):
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
 def test_collocations_on_empty_table(spark):
     assert phrase_tiles.collocations(frame(spark, [])).collect() == []
 

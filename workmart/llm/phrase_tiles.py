@@ -41,8 +41,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNKNOWN = "und"
 #: Ids below DENSE on both sides are counted in one dense DENSE x DENSE tile (8 MB of counters).
 DENSE = 1024
-#: A task's sparse pair codes are reduced to distinct pairs when it holds so many.
-FLUSH = 4_000_000
+#: A task's pairs are reduced to distinct pairs when it holds so many (8 bytes each, and as much again while a lang is sorted).
+FLUSH = 2_000_000
+#: Rows of the batches that a task sends back: a whole reduction in one batch is held again by the worker and by Spark.
+SENT = 65_536
 #: Cells of the first ranking step.
 CELLS = 64
 #: The frequent words and the frequent pairs are sent to the tasks if each has at most so many rows (checked by a count;
@@ -75,55 +77,76 @@ def ranked(df: DataFrame, by: list[str], count: str, order: list[str], name: str
     return placed.join(offsets, [*by, "_class"]).withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_class", "_pos", "_off")
 
 
+def count_tile(codes: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes (left << 32 | right) of the dense tile and their counts, from positions left * dense + right."""
+    tile = np.bincount(codes, minlength=dense * dense)
+    at = np.flatnonzero(tile)
+    return at // dense << 32 | at % dense, tile[at]
+
+
+def count_sorted(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and their counts; sorts `packed` in place, as np.unique holds copies."""
+    packed.sort()
+    new = np.ones(len(packed), dtype=bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return packed[first], np.diff(first, append=len(packed))
+
+
+def split_pairs(left: np.ndarray, right: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids >= 0 and below 2^31: positions in the dense tile, and packed codes of the others."""
+    inside = (left < dense) & (right < dense)
+    packed = left[~inside].astype(np.int64)
+    packed <<= 32
+    packed |= right[~inside]
+    return left[inside].astype(np.int32) * np.int32(dense) + right[inside].astype(np.int32), packed
+
+
 def count_pairs(lang: np.ndarray, left: np.ndarray, right: np.ndarray, dense: int = DENSE):
     """Distinct (lang, left, right) with their counts; ids >= 0 and below 2^31. The dense tile by bincount, the others
     as sorted coordinates."""
     out = []
     for code in np.unique(lang):
         mine = lang == code
-        a, b = left[mine], right[mine]
-        inside = (a < dense) & (b < dense)
-        tile = np.bincount(a[inside].astype(np.int64) * dense + b[inside], minlength=dense * dense)
-        at = np.flatnonzero(tile)
-        out.append((code, at // dense, at % dense, tile[at]))
-        packed = a[~inside].astype(np.int64)
-        packed <<= 32
-        packed |= b[~inside]
-        packed.sort()  # in place; np.unique holds copies
-        first = np.flatnonzero(np.diff(packed, prepend=-1))
-        counts, packed = np.diff(first, append=len(packed)), packed[first]
-        out.append((code, packed >> 32, packed & 0xFFFFFFFF, counts))
+        tile, others = split_pairs(left[mine], right[mine], dense)
+        for codes, counts in (count_tile(tile, dense), count_sorted(others)):
+            out.append((code, codes >> 32, codes & 0xFFFFFFFF, counts))
     return out
 
 
 def _pair_counter(left):
     """A function for mapInArrow that counts the pairs that `left(batch)` gives: (langs of its rows, row of each pair,
-    left ids, right ids)."""
+    left ids, right ids). Pairs are held by lang, packed; counts leave in batches of SENT rows."""
 
     def run(batches):
-        names, codes, lefts, rights, held = {}, [], [], [], 0
+        tiles, others, held = {}, {}, 0
+
+        def joined(parts, name):
+            """One array of a lang's parts, which are let go."""
+            return np.concatenate(parts.pop(name))
 
         def flush():
-            nonlocal codes, lefts, rights, held
-            if held:
-                known, joined = list(names), []
-                for parts in (codes, lefts, rights):
-                    joined.append(np.concatenate(parts))
-                    parts.clear()
-                for code, a, b, c in count_pairs(*joined):
-                    yield pa.RecordBatch.from_arrays([pa.array([known[code]] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["lang", "left", "right", "c"])
-            codes, lefts, rights, held = [], [], [], 0
+            for parts, count in ((tiles, count_tile), (others, count_sorted)):
+                for name in list(parts):
+                    codes, counts = count(joined(parts, name))
+                    for at in range(0, len(codes), SENT):
+                        some = codes[at:at + SENT]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some >> 32), pa.array(some & 0xFFFFFFFF),
+                                                          pa.array(counts[at:at + SENT], pa.int64())], ["lang", "left", "right", "c"])
 
         for batch in slices(batches, 4096):
             langs, rows, a, b = left(batch)
             coded = langs.dictionary_encode()
-            per_row = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()] or [0], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-            codes.append(per_row[rows].astype(np.int32))  # ids are below 2^31
-            lefts.append(a.astype(np.int32))
-            rights.append(b.astype(np.int32))
+            owner = coded.indices.to_numpy(zero_copy_only=False)[rows]
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                mine = owner == code
+                for parts, codes in zip((tiles, others), split_pairs(a[mine], b[mine])):
+                    if len(codes):
+                        parts.setdefault(name, []).append(codes)
             held += len(a)
             if held >= FLUSH:
                 yield from flush()
+                held = 0
         yield from flush()
 
     return run
@@ -201,6 +224,12 @@ def counted_pairs(df: DataFrame, reader) -> DataFrame:
     return partial.groupBy("lang", "left", "right").agg(F.sum("c").alias("c"))
 
 
+def frequent_pairs(df: DataFrame, reader, least: int) -> DataFrame:
+    """Pairs that occur `least` times or more, with their ids. The counts are stored first: ranking reads them several times."""
+    counts = store(counted_pairs(df, reader).filter(F.col("c") >= least))
+    return store(ranked(counts, ["lang"], "c", ["left", "right"], "pid"))
+
+
 def _exact(a: str, l: str, r: str) -> Column:
     """floor(1e6 a^2 / (l r)), exact."""
     big = "decimal(38,0)"
@@ -220,7 +249,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text: str =
         for r in vocabulary.select("lang", "word", "id").toLocalIterator():
             known.setdefault(r["lang"], {})[r["word"]] = r["id"]
         words = context.broadcast(known)
-        pairs = store(ranked(counted_pairs(rows.select("lang", "_t"), _shipped_pairs(words)).filter(F.col("c") >= least), ["lang"], "c", ["left", "right"], "pid"))
+        pairs = frequent_pairs(rows.select("lang", "_t"), _shipped_pairs(words), least)
     else:
         words, pairs = None, None
     if words is not None and pairs.count() <= SHIPPED:
@@ -234,7 +263,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text: str =
         encoded = store(at.groupBy("_row", "_p", "lang").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(-1)).alias("id")))).alias("_at"))
                         .select("lang", F.transform("_at", lambda x: x["id"]).alias("ids")))
         if pairs is None:
-            pairs = store(ranked(counted_pairs(encoded, _neighbours).filter(F.col("c") >= least), ["lang"], "c", ["left", "right"], "pid"))
+            pairs = frequent_pairs(encoded, _neighbours, least)
         threes = encoded.filter(F.size("ids") >= 3).select("lang", "ids", F.explode(F.sequence(F.lit(0), F.size("ids") - 3)).alias("_i")).select(
             "lang", F.col("ids")[F.col("_i")].alias("left"), F.col("ids")[F.col("_i") + 1].alias("right"), F.col("ids")[F.col("_i") + 2].alias("_third"))
         threes = threes.filter((F.col("left") >= 0) & (F.col("right") >= 0) & (F.col("_third") >= 0)).join(pairs.select("lang", "left", "right", "pid"), ["lang", "left", "right"])
