@@ -26,8 +26,6 @@ texts have no words; an empty table gives an empty result. Only text and lang ar
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -50,18 +48,25 @@ CELLS = 64
 #: The frequent words and the frequent pairs are sent to the tasks if each has at most so many rows (checked by a count;
 #: about 60 MB of words); beyond that, word occurrences are joined with them instead.
 SHIPPED = 2_000_000
-#: The same separators for Python's re, in tasks that read texts themselves.
-PIECE_RE, SPACE_RE = re.compile("[.,;:!?\n\x0b\x0c\r]"), re.compile("[ \t]+")
+#: The same for the bytes of a text, in tasks that read texts themselves: every piece separator becomes a full stop, a tab a
+#: space, A-Z lower case.
+PLAIN = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t" + UPPER.encode(), b"." * 9 + b" " + LOWER.encode())
+#: Any separator, where only words are wanted.
+BETWEEN = "[.,;:!?\\x0A-\\x0D\\x20\\x09]+"
 
 
 def texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """_row (a stored row number), lang, _t (the lower-cased text), stored once."""
-    return store(docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"),
-                             F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER).alias("_t")))
+    """lang, _t (the text as it is)."""
+    return docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+
+
+def lowered() -> Column:
+    return F.translate("_t", UPPER, LOWER)
 
 
 def pieces(rows: DataFrame) -> DataFrame:
     """_row, _p, lang, words (array of the piece's words): one row for each piece with words."""
+    rows = store(rows.select(F.monotonically_increasing_id().alias("_row"), "lang", lowered().alias("_t")))  # row numbers must stay
     cut = rows.select("_row", "lang", F.posexplode(F.split("_t", PIECE)).alias("_p", "_piece"))
     words = F.filter(F.split("_piece", SPACE), lambda w: w != "")
     return cut.select("_row", "_p", "lang", words.alias("words")).filter(F.size("words") > 0)
@@ -173,15 +178,15 @@ def _given(batch: pa.RecordBatch):
 
 
 def _encoded(batch: pa.RecordBatch, words: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words of a batch's texts, each piece followed by -1, and the row of each."""
-    ids, rows = [], []
-    for row, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("_t").to_pylist())):
-        known, start = words.get(lang, {}), len(ids)
-        for piece in PIECE_RE.split(text):
-            ids.extend(known.get(w, -1) for w in SPACE_RE.split(piece) if w)
-            ids.append(-1)
-        rows.extend([row] * (len(ids) - start))
-    return np.asarray(ids, np.int64), np.asarray(rows, np.int64)
+    """Ids of the words of a batch's texts, each piece followed by -1, and the row of each. Separators are single bytes
+    of UTF-8, and a full stop, which no word holds, is looked up as the end of a piece."""
+    ids, sizes = [], []
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("_t").cast(pa.binary()).to_pylist()):
+        find, start = words.get(lang, {}).get, len(ids)
+        ids.extend([find(w, -1) for w in text.translate(PLAIN).replace(b".", b" . ").split()])
+        ids.append(-1)
+        sizes.append(len(ids) - start)
+    return np.array(ids, np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _shipped_pairs(words):
@@ -203,11 +208,12 @@ def _shipped_triples(words, pairs):
         a, b, c, at = ids[:-2], ids[1:-1], ids[2:], rows[:-2]
         keep = (a >= 0) & (b >= 0) & (c >= 0)
         a, b, c, at = a[keep], b[keep], c[keep], at[keep]
-        langs = batch.column("lang").to_pylist()
+        coded = batch.column("lang").dictionary_encode()
+        owner = coded.indices.to_numpy(zero_copy_only=False)[at]
         pid = np.full(len(a), -1, np.int64)
-        for lang in set(langs):
+        for code, lang in enumerate(coded.dictionary.to_pylist()):
             codes, ids_of = pairs.value.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            mine = np.isin(at, [i for i, x in enumerate(langs) if x == lang])
+            mine = owner == code
             packed = (a[mine] << 32) | b[mine]
             found = np.minimum(np.searchsorted(codes, packed), max(len(codes) - 1, 0))
             hit = len(codes) > 0
@@ -239,17 +245,17 @@ def _exact(a: str, l: str, r: str) -> Column:
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's first `top` candidates, as the module says."""
     rows = texts(docs, text, lang)
-    cut = pieces(rows)
-    counts = store(cut.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")))
+    words_of = rows.select("lang", F.explode(F.split(lowered(), BETWEEN)).alias("word")).filter(F.col("word") != "")
+    counts = store(words_of.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")))
     totals = counts.groupBy("lang").agg(F.sum("c").cast("long").alias("n"))
     vocabulary = store(ranked(counts.filter(F.col("c") >= least), ["lang"], "c", ["word"], "id"))
     context = docs.sparkSession.sparkContext
     if vocabulary.count() <= SHIPPED:
         known = {}
         for r in vocabulary.select("lang", "word", "id").toLocalIterator():
-            known.setdefault(r["lang"], {})[r["word"]] = r["id"]
+            known.setdefault(r["lang"], {})[r["word"].encode()] = r["id"]
         words = context.broadcast(known)
-        pairs = frequent_pairs(rows.select("lang", "_t"), _shipped_pairs(words), least)
+        pairs = frequent_pairs(rows, _shipped_pairs(words), least)
     else:
         words, pairs = None, None
     if words is not None and pairs.count() <= SHIPPED:
@@ -257,9 +263,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text: str =
         for r in pairs.select("lang", (F.shiftleft("left", 32).bitwiseOR(F.col("right"))).alias("code"), "pid").toLocalIterator():
             table.setdefault(r["lang"], []).append((r["code"], r["pid"]))
         table = {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for k, v in table.items()}
-        triples = store(counted_pairs(rows.select("lang", "_t"), _shipped_triples(words, context.broadcast(table))).filter(F.col("c") >= least))
+        triples = store(counted_pairs(rows, _shipped_triples(words, context.broadcast(table))).filter(F.col("c") >= least))
     else:
-        at = cut.select("_row", "_p", "lang", F.posexplode("words").alias("_i", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
+        at = pieces(rows).select("_row", "_p", "lang", F.posexplode("words").alias("_i", "word")).join(vocabulary.select("lang", "word", "id"), ["lang", "word"], "left")
         encoded = store(at.groupBy("_row", "_p", "lang").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(-1)).alias("id")))).alias("_at"))
                         .select("lang", F.transform("_at", lambda x: x["id"]).alias("ids")))
         if pairs is None:
