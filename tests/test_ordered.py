@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Window, functions as F
 
-from workmart.operators.ordered import with_neighbours, with_position, with_running_sum
+from workmart.operators.ordered import with_near_neighbours, with_neighbours, with_position, with_running_sum
 from workmart.operators.quantiles import exact_quantiles
 from workmart.operators.sessions import sessionize
 
@@ -28,6 +28,16 @@ def test_neighbours(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, ours.collect()))
 
 
+def test_near_neighbours_cut_only_long_keys(spark):
+    df = _events(spark)
+    values = {"previous": {"was": "v"}, "following": {"will": "id"}}
+    want = sorted(map(str, with_neighbours(df, ["key"], ["ts", "id"], **values).collect()))
+    for most, cut in ((50, True), (200, True), (600, False)):  # "hot" has more than 200 rows, "a", "b" and NULL more than 50
+        found = with_near_neighbours(df, ["key"], ["ts", "id"], **values, most=most)
+        assert sorted(map(str, found.collect())) == want
+        assert ("__chunk" in found._jdf.queryExecution().executedPlan().toString()) is cut
+
+
 def test_running_sum_and_position(spark):
     df = _events(spark)
     plain = df.withColumn("total", F.sum("v").over(Window.partitionBy("key").orderBy("ts")))

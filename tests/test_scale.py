@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from workmart.operators import issues
 from workmart.operators.quantiles import exact_quantiles
@@ -54,3 +55,17 @@ def test_cohorts_with_a_person_listed_twice(spark):
                                  "person_id string, org_unit_id string, metric_date date, metric_key string, metric_value double")
     found = {(r["kind"], r["cohort_seed"]): (r["p25"], r["p50"], r["p75"], r["min"], r["max"], r["n"]) for r in peer_cohorts(rows, people).collect()}
     assert found == {("ic", "boss"): (1.0, 1.0, 3.0, 1.0, 3.0, 1), ("team", "u"): (1.0, 3.0, 3.0, 1.0, 5.0, 2)}
+
+
+def test_status_intervals_read_the_history_once(spark, tmp_path):
+    """Status events are stored, and short issues need no rows at the ends of chunks."""
+    spark.sql("""select 's' source_id, issue_id, 'status' field_id, 'set' delta_action, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, n) event_at, n _version,
+        cast(n as string) event_id, array(v) value_displays from values ('1', 1, 'Open'), ('1', 3, 'Closed'), ('1', 4, 'Open'), (null, 2, 'Open'), (null, 5, 'Closed') t(issue_id, n, v)""").write.parquet(f"{tmp_path}/history")
+    state = spark.sql("select 's' source_id, '1' issue_id, timestamp'2024-01-01 00:00:00' created_at, timestamp'2024-01-06 00:00:00' final_close_at, 'a@x' assignee_email")
+    found = store(issues.status_intervals(spark.read.parquet(f"{tmp_path}/history"), state, F.lit("2024-01-09 00:00:00").cast("timestamp")))
+    moved = issues.status_transitions(found, state, False, "n")
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "__chunk" not in plan
+    days = {(r["issue_id"], r["interval_start"].day, r["interval_end"].day, r["status_name"]) for r in found.collect()}
+    assert days == {("1", 2, 4, "Open"), ("1", 4, 5, "Closed"), ("1", 5, 6, "Open"), (None, 3, 6, "Open"), (None, 6, 9, "Closed")}
+    assert [(r["assignee_email"], r["event_date"].day, r["n"]) for r in moved.collect()] == [("a@x", 5, 1)]
