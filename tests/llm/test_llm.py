@@ -56,6 +56,21 @@ def test_pieces_equal_the_library():
         assert table.decode(np.array(ids, dtype=np.int32)) == library.decode(ids)
 
 
+def test_pieces_of_many_words_are_worked_out_once():
+    table = piece_table.PieceTable(open(MODEL, "rb").read())
+    made, make = [], table.words.make
+    table.words.make = lambda word: made.append(word) or make(word)
+    words = [f"{a}{b}{c}{d}" for a in "abcdefghijklmnopqrst" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for d in "abcdefghijklmnopqrstuvwxyz"] + ["b" * 60]
+    texts = [" ".join(words[at:at + 1000]) for at in range(0, len(words), 1000)]
+    texts += [t.upper() for t in texts]
+    first = [table.encode(t).tolist() for t in texts]
+    n = len(made)
+    assert len({w for w in made if len(w) < 60}) == 2 * len(words) - 2
+    assert [table.encode(t).tolist() for t in texts] == first
+    assert [w for w in made[n:] if len(w) < 60] == []
+    assert not any(len(w) >= 60 for w in [*table.words, *table.words.old])  # too long to be kept
+
+
 def test_pieces_on_odd_rows(odd, none):
     found = piece_table.encode(odd, MODEL, ["doc_id", "size"], outputs=("ids", "decoded", "n_tokens")).collect()
     assert sorted(r["decoded"] for r in found) == sorted(t or "" for _, t, _ in odd_rows()) and all(len(r["ids"]) == r["n_tokens"] and r["size"] == -1 for r in found)

@@ -31,7 +31,7 @@ from workmart.llm.common import Recent, arrow_map, slices
 
 SPACE = "▁"
 #: Words that a worker remembers at least (at most twice as many), and the longest word that it remembers.
-KEPT_WORDS, LONGEST_KEPT = 60_000, 48
+KEPT_WORDS, LONGEST_KEPT = 200_000, 48
 
 
 class Strings:
@@ -87,7 +87,7 @@ class PieceTable:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.first, self.follows = Follows(self, None), {i: Follows(self, i) for i in normal}
-        self.words = Recent(self._word, KEPT_WORDS)
+        self.words = Recent(self._word, KEPT_WORDS, LONGEST_KEPT)
         shown = [bytes([self.bytes_of[i]]) if i in self.bytes_of else b"" if i in self.silent else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.shown, self.decimals = Strings(shown), Strings([b"%d," % i for i in range(size)])
 
@@ -143,8 +143,7 @@ class PieceTable:
         if not text:
             return np.empty(0, dtype=np.int32)
         words = self.split(SPACE + text.replace(" ", SPACE))
-        known, make = self.words, self._word
-        return np.frombuffer(b"".join([known[w] if len(w) <= LONGEST_KEPT else make(w) for w in words]), dtype=np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library: without the space that encoding puts first; bytes that are no UTF-8 become U+FFFD each."""
