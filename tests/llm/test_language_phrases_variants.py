@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,23 @@ def test_gradient_equals_differences():
             assert abs((up - down) / 2e-6 - g[k][idx]) <= 1e-4 * max(1.0, abs(g[k][idx]))
 
 
+def test_pooled_distributions_equal_the_trained_network_in_little_memory():
+    rng = np.random.default_rng(2)
+    p = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in byte_gru._init(3).items()}
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 127, 128, 129, 700)]
+    found = byte_gru.pooled(p, [None, b"", *texts], chunks=3)
+    assert (found[:2] == 0).all()
+    for text, dist in zip(texts, found[2:]):
+        X, mask = byte_gru._pack([text[at:at + 128] for at in range(0, len(text), 128)])
+        prob = byte_gru._softmax(byte_gru.logits(p, X, mask)[0].astype(np.float64)) * mask.T[:, :, None]
+        assert np.allclose(prob.sum((0, 1)) / len(text), dist, atol=1e-5)
+    tracemalloc.start()
+    byte_gru.pooled(p, [bytes(128 * 4096)])  # 4,096 chunks: their states alone are 67 MB
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak
+
+
 def two_languages(n):
     rng = random.Random(9)
     one, two = "ka ki ko ku kan kon".split(), "zé zö zü zéé öz üz".split()
