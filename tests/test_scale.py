@@ -7,7 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from workmart.operators import issues
+from proving.case import KINDS
+from workmart.functions.scalars import rounded
+from workmart.operators import issues, rollup
 from workmart.operators.quantiles import exact_quantiles
 from workmart.plans.gold import peer_cohorts
 from workmart.session import store
@@ -69,3 +71,26 @@ def test_status_intervals_read_the_history_once(spark, tmp_path):
     days = {(r["issue_id"], r["interval_start"].day, r["interval_end"].day, r["status_name"]) for r in found.collect()}
     assert days == {("1", 2, 4, "Open"), ("1", 4, 5, "Closed"), ("1", 5, 6, "Open"), (None, 3, 6, "Open"), (None, 6, 9, "Closed")}
     assert [(r["assignee_email"], r["event_date"].day, r["n"]) for r in moved.collect()] == [("a@x", 5, 1)]
+
+
+def test_rounding_of_whole_and_odd_values(spark):
+    values = [None, 0.0, -0.0, 1.0, -7.0, 0.5, -0.5, 2.25, 0.1 + 0.2, 1.005, 1e15 + 0.5, 2.0**53, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    kind = KINDS["f"][0].format(c="v")
+    found = df.select(
+        *[rounded("v", d).cast("string").alias(f"a{d}") for d in (0, 1, 2)], *[F.round(F.round("v", d + 8), d).cast("string").alias(f"b{d}") for d in (0, 1, 2)],
+        F.expr(f"cast({kind} as string)").alias("a4"), F.expr("cast(round(round(v, 12), 4) + 0.0D as string)").alias("b4"))
+    for row in found.collect():
+        assert all(row[f"a{d}"] == row[f"b{d}"] for d in (0, 1, 2, 4)), row
+    assert found.select("a1").dtypes == [("a1", "string")] and df.select(rounded("v", 1).alias("r")).dtypes == [("r", "double")]
+
+
+def test_rows_are_stored_before_medians(spark):
+    """The rows of a period come from a file for every count of a median, not from their own plan again."""
+    rows = spark.range(40).selectExpr(
+        "cast(id % 4 as string) as person_id", "'u' as org_unit_id", "date'2024-01-01' as metric_date",
+        "if(id % 8 < 4, 'size', 'n') as metric_key", "cast(id div 4 as double) as metric_value")
+    values = rollup.person_values(rows, rollup.Metrics(values={"n": rollup.total("n")}, medians={"median": "size"}))
+    assert "Range (" not in values._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.person_id, r.metric_key, r.v) for r in values.collect()) == sorted(
+        x for p in "0123" for x in ((p, "median", 4.0), (p, "n", 25.0)))
