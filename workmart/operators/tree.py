@@ -112,13 +112,15 @@ def forest(visible: DataFrame, org_chart: DataFrame, tenant: str, source_type: s
     visible parent; roots without children are left out."""
     edges = org_at(org_chart, tenant, source_type, at)
     members = edges.select(F.col("child_person_id").alias("person_id"), "parent_person_id").distinct()
-    inside = visible.join(members, "person_id")
+    with_children = edges.filter(F.col("parent_person_id").isNotNull()).select(F.col("parent_person_id").alias("person_id")).distinct()
+    # Only persons with children can be roots: the others go before they meet what the viewers see.
+    inside = visible.join(members.join(with_children, "person_id", "left_semi"), "person_id")
     parents = visible.select("viewer_person_id", F.col("person_id").alias("parent_person_id")).join(
+        with_children.select(F.col("person_id").alias("parent_person_id")), "parent_person_id", "left_semi").join(
         members.select(F.col("person_id").alias("parent_person_id")).distinct(), "parent_person_id", "left_semi")
-    tops = inside.filter(F.col("parent_person_id").isNull()).unionByName(
-        inside.filter(F.col("parent_person_id").isNotNull()).join(parents, ["viewer_person_id", "parent_person_id"], "left_anti"))
-    with_children = edges.filter(F.col("parent_person_id").isNotNull()).select(F.col("parent_person_id").alias("person_id")).distinct()
-    roots = tops.select("viewer_person_id", "person_id").distinct().join(with_children, "person_id", "left_semi")
+    # The anti join keeps rows without a parent.
+    tops = inside.join(parents, ["viewer_person_id", "parent_person_id"], "left_anti")
+    roots = tops.select("viewer_person_id", "person_id").distinct()
     return descend(roots, edges, max_depth, group=["viewer_person_id"])
 
 
