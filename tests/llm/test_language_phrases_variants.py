@@ -161,6 +161,64 @@ def test_pair_counts_leave_in_small_batches(monkeypatch):
     assert got == want
 
 
+def test_collocations_with_words_but_not_pairs_sent(spark, monkeypatch):
+    """Beyond the bound for pairs, texts are still read by the tasks (twice), and no word occurrence is joined."""
+    seen, encoded = spark.sparkContext.accumulator(0), phrase_tiles._encoded
+
+    def watched(batch, words):
+        seen.add(batch.num_rows)
+        return encoded(batch, words)
+
+    monkeypatch.setattr(phrase_tiles, "_encoded", watched)
+    monkeypatch.setattr(phrase_tiles, "SHIPPED", 60)  # 13 words or so in each of three langs, and about 150 pairs
+    rows = planted_phrases() + odd()
+    got = {}
+    for r in sorted(phrase_tiles.collocations(frame(spark, rows)).collect(), key=lambda r: (r.lang, r.rank)):
+        got.setdefault(r.lang, []).append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+    assert got == brute.collocations([(t, l) for _, t, l in rows])
+    assert seen.value == 2 * len(rows)
+
+
+def test_texts_in_chunks_have_the_vocabulary_s_ids(spark, monkeypatch):
+    monkeypatch.setattr(phrase_tiles, "BUCKET", 50)  # a few texts to a chunk
+    docs = phrase_tiles.texts(spark.createDataFrame([("Red wine. red\tx", "en"), ("wine", "de"), ("", "en"), (None, None), *[("RED", "en")] * 40], "text string, lang string"))
+    words = spark.createDataFrame([("en", "red", 0), ("en", "wine", 1), ("de", "wine", 7)], "lang string, word string, id long")
+    got = sorted((r["lang"], r["ids"]) for r in phrase_tiles.encoded_texts(docs, words, 45).collect())
+    assert got == sorted([("en", [0, 1, -1, 0, -1, -1]), ("de", [7, -1]), ("en", [-1]), ("und", [-1]), *[("en", [0, -1])] * 40])
+
+
+@pytest.mark.parametrize("bits, wide", [(0, False), (3, False), (3, True)])
+def test_packed_counts_come_back_and_are_small(bits, wide):
+    """About two bytes leave a task for a pair, instead of a row of four columns."""
+    rng = np.random.default_rng(6)
+    left, right = (rng.zipf(1.3, 200_000) % 30_000 for _ in range(2))
+    left = left << 32 | left[::-1] if wide else left
+    left[0], right[0] = (2**62 - 1 if wide else 2**31 - 1), 2**31 - 1
+    once = phrase_tiles.sum_counts(left, right, np.ones(len(left), np.int64), 1)
+    packed = list(phrase_tiles.pack_counts(*once, bits))
+    assert len({b for b, _, _ in packed}) == len(packed) == 1 << bits
+    assert sum(len(held) for *_, held in packed) < (5 if wide else 3) * len(once[0])
+    back = [np.concatenate(x) for x in zip(*[phrase_tiles.unpack_counts(b, n, held, bits) for b, n, held in packed])]
+    assert all(np.array_equal(a, b) for a, b in zip(phrase_tiles.sum_counts(*back, 1), once))
+    often = phrase_tiles.sum_counts(*back, 10)
+    assert 0 < len(often[0]) < len(once[0]) and often[2].min() >= 10
+
+
+def test_wide_pairs_count_like_a_counter(monkeypatch):
+    monkeypatch.setattr(phrase_tiles, "FLUSH", 3000)
+    rng = np.random.default_rng(7)
+    langs = [["en", "de"][x] for x in rng.integers(0, 2, 10_000)]
+    left, right = rng.integers(0, 40, 10_000) << 50 | 5, rng.integers(0, 2000, 10_000)
+    got, want = {}, {}
+    for batch in phrase_tiles._wide_counter(phrase_tiles._given)(iter(pa.table({"lang": langs, "left": left, "right": right}).to_batches(max_chunksize=1000))):
+        for r in batch.to_pylist():
+            key = (r["lang"], r["left"], r["right"])
+            got[key] = got.get(key, 0) + r["c"]
+    for key in zip(langs, left.tolist(), right.tolist()):
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
 def test_collocations_on_empty_table(spark):
     assert phrase_tiles.collocations(frame(spark, [])).collect() == []
 

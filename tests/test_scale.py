@@ -94,3 +94,15 @@ def test_rows_are_stored_before_medians(spark):
     assert "Range (" not in values._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.person_id, r.metric_key, r.v) for r in values.collect()) == sorted(
         x for p in "0123" for x in ((p, "median", 4.0), (p, "n", 25.0)))
+
+
+def test_store_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {f for f in found.split(",") if "/shuffle_" in f}
+
+    before = files()
+    table = store(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert not files() - before
+    assert table.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
