@@ -11,6 +11,7 @@ from proving.case import KINDS
 from workmart.functions.scalars import rounded
 from workmart.operators import issues, rollup
 from workmart.operators.quantiles import exact_quantiles
+from workmart.plans import registry
 from workmart.plans.gold import peer_cohorts
 from workmart.session import store
 
@@ -106,3 +107,39 @@ def test_store_leaves_no_shuffle_files(spark):
     assert not files() - before
     assert table.count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _jira(spark, *issue_keys):
+    """Issues with a status and labels, one change of each; an issue's key may be given twice."""
+    at = "timestamp'2024-01-02 00:00:00' as _airbyte_extracted_at"
+    ids = spark.createDataFrame([(k, i) for i, k in enumerate(issue_keys)], "id string, n int")
+    return registry.Landed(spark, {
+        "bronze_jira.jira_issue": ids.selectExpr("'s' source_id", "'t' tenant_id", "id jira_id", "concat('T-', id) id_readable", "'2024-01-01' created", "id unique_key", at, "'P' project_key",
+            "cast(null as string) parent_id", "cast(null as string) due_date", """'{"status":{"id":"2","name":"Done"},"labels":["a","b"]}' custom_fields_json"""),
+        "bronze_jira.jira_issue_history": ids.selectExpr("'s' source_id", "'t' tenant_id", "concat('T-', id) id_readable", "id changelog_id", "'2024-01-01 10:00:00' created_at", "'u' author_account_id",
+            "id unique_key", at, """'[{"fieldId":"status","field":"Status","from":"1","fromString":"Open","to":"2","toString":"Done"},
+            {"fieldId":"labels","field":"Labels","from":"","fromString":"","to":"b","toString":"b"}]' items"""),
+        "bronze_jira.jira_fields": spark.sql(f"""select 's' source_id, 't' tenant_id, field_id unique_key, {at}, field_id, field_id name, kind schema_type, items schema_items
+            from values ('status', 'status', ''), ('labels', 'array', 'string') t(field_id, kind, items)""")}, F.lit("2024-02-01").cast("timestamp"))
+
+
+def test_field_history_rows_are_not_shuffled_by_key(spark):
+    """What the history shuffled is gone before its rows are read, and rows whose key is theirs alone stay where they are."""
+    rows = registry.build_class("class_task_field_history", _jira(spark, "1", "2", "2"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].replace("BroadcastExchange", "")
+    found = {(r.issue_id, r.field_id, r.event_id): (r.value_ids, r.delta_action, r.delta_value_id, r.tenant_id) for r in rows.collect()}
+    assert len(found) == rows.count() == 24
+    for issue in "12":
+        assert found[issue, "status", f"initial:{issue}"] == (["1"], "set", "1", "t") and found[issue, "status", issue] == (["2"], "set", "2", "t")
+        assert found[issue, "labels", f"initial:{issue}"] == (["a"], "add", "a", "t")
+        assert found[issue, "labels", issue] == (["a", "b"], "add", "b", "t")
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_keys_that_repeat_keep_their_newest_row(spark, monkeypatch, few):
+    monkeypatch.setattr(registry, "FEW", few)
+    schema = registry.contract("class_task_field_history")
+    rows = registry.conform(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", None, "z"), ("b", 1, "x"), (None, 1, "p"), (None, 3, "q")], "unique_key string, _version long, issue_id string"), schema)
+    found = registry.one_per_key(rows, "class_task_field_history")
+    assert found.columns == schema.names
+    assert sorted(((r.unique_key or "", r.issue_id) for r in found.collect())) == [("", "q"), ("a", "y"), ("b", "x")]

@@ -10,6 +10,7 @@ from workmart.operators.issues import current_fields, explode_changelog, field_h
 from workmart.operators.latest import latest_by
 from workmart.plans.registry import Landed, feeds
 from workmart.plans.staging.shape import KEYS, shape, truth, version
+from workmart.session import store
 
 
 def _by_record(t: Landed, table: str) -> DataFrame:
@@ -78,8 +79,9 @@ def jira_field_history(t: Landed, previous: DataFrame | None = None) -> DataFram
 
 @feeds("class_task_field_history", "jira", "bronze_jira.jira_issue", "bronze_jira.jira_issue_history", "bronze_jira.jira_fields")
 def jira_history_class(t: Landed) -> DataFrame:
-    rows = jira_field_history(t)
-    tenant = t("bronze_jira.jira_issue").groupBy("source_id").agg(F.max("tenant_id").alias("tenant_id"))
+    # Stored, so that what the history shuffled is gone before its rows are, and the tenants have a known, small size.
+    rows = store(jira_field_history(t))
+    tenant = store(t("bronze_jira.jira_issue").groupBy("source_id").agg(F.max("tenant_id").alias("tenant_id")))
     return rows.join(tenant, "source_id", "left").select(
         "*", unique_key("source_id", "issue_id", "field_id", "event_id", "_seq").alias("unique_key"), F.lit("jira").alias("data_source"),
         t.as_of.alias("collected_at"), millis(t.as_of).alias("_version"))
